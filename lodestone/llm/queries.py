@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, langid, licenses, quality, simhash
+from lodestone.llm import decontaminate, langid, licenses, lines, packing, quality, simhash
 from lodestone.session import table
 
 
@@ -34,5 +34,13 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_language_id, op4_benchmark_decontamination, op6_license_scan)}
-ORACLES: dict[str, str] = {}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_language_id, op4_benchmark_decontamination, op6_license_scan, op8_packing, op9_line_dedup)}
+ORACLES: dict[str, str] = {"op9_line_dedup": lines.ORACLE}
