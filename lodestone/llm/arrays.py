@@ -136,7 +136,7 @@ def poly_hash(b: bytes, fold_case: bool = False) -> int:
 class Memo:
     """A worker's memo from 64-bit hashes to row numbers of ragged values; dropped when it grows past ``most`` keys, which costs time only."""
 
-    def __init__(self, most: int = 1_500_000):
+    def __init__(self, most: int = 2_500_000):
         self.most = most
         self.clear()
 
@@ -160,7 +160,7 @@ class Memo:
 
 def unique_first(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted distinct values, an index of each, inverse)."""
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     sorted_h = h[order]
     new = np.ones(len(h), bool)
     new[1:] = sorted_h[1:] != sorted_h[:-1]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, langid, licenses, lines, packing, quality, simhash
+from lodestone.llm import decontaminate, langid, licenses, lines, packing, quality, rans, simhash, urls, vectors
 from lodestone.session import table
 
 
@@ -30,10 +30,18 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.encode(table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -42,5 +50,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_language_id, op4_benchmark_decontamination, op6_license_scan, op8_packing, op9_line_dedup)}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights, bias = urls.fit()
+    return urls.score(table(spark, sf_dir, "pages").select("page_id", "url"), weights, bias)
+
+
+_ALL = (op1_simhash_near_dedup, op2_quality_classifier, op3_language_id, op4_benchmark_decontamination, op5_rans_tokens, op6_license_scan, op7_embedding_near_dedup, op8_packing, op9_line_dedup, op10_url_filter)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {"op9_line_dedup": lines.ORACLE}
