@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm import arrays as A
 from lodestone.llm.vocab import TOKENIZERS, pieces
@@ -244,7 +245,7 @@ def identify(docs: DataFrame, parts: list[bytes], prob: np.ndarray, languages: t
     vocabulary = Vocabulary.of(parts)
     key = int(np.bitwise_xor.reduce(A.mix(prob.view(np.uint64).ravel(), 1))) if prob.size else 0
     shared = spark.sparkContext.broadcast((vocabulary, prob))  # as large as the fixed vocabulary, whatever the corpus
-    fields = docs.schema.add("predicted", "string").add("margin", "double")
+    fields = T.StructType([*docs.schema.fields]).add("predicted", "string").add("margin", "double")
 
     def run(batches):
         v, p = shared.value

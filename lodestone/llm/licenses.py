@@ -22,6 +22,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from lodestone.llm import arrays as A
 from lodestone.session import ship
@@ -182,7 +183,7 @@ def scan(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     docs = docs.drop("licenses", "expressions", "verdict")
     columns = [c for c in docs.columns if c != "text"]
-    fields = docs.select([f"`{c}`" for c in columns]).schema.add("licenses", "array<string>").add("expressions", "array<string>").add("verdict", "string")
+    fields = T.StructType([f for f in docs.schema.fields if f.name != "text"]).add("licenses", "array<string>").add("expressions", "array<string>").add("verdict", "string")
 
     def run(batches):
         automaton = _automaton()

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm import arrays as A
 from lodestone.session import ship
@@ -177,7 +178,7 @@ def score(docs: DataFrame, model: OrdinalModel, select_grade: int, least: float
     ship(spark)
     docs = docs.drop("expected_grade", "p_tail", "keep")
     shared = spark.sparkContext.broadcast((model.weights, model.thresholds))  # 16 MB whatever the corpus
-    fields = docs.schema.add("expected_grade", "double").add("p_tail", "double").add("keep", "boolean")
+    fields = T.StructType([*docs.schema.fields]).add("expected_grade", "double").add("p_tail", "double").add("keep", "boolean")
 
     def run(batches):
         m = OrdinalModel(*shared.value)

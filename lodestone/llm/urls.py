@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm import arrays as A
 from lodestone.session import ship
@@ -87,7 +88,7 @@ def score(pages: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     spark = pages.sparkSession
     ship(spark)
     pages = pages.drop("p_block", "blocked")
-    fields = pages.schema.add("p_block", "double").add("blocked", "boolean")
+    fields = T.StructType([*pages.schema.fields]).add("p_block", "double").add("blocked", "boolean")
     shared = spark.sparkContext.broadcast(weights)  # 2**16 weights, whatever the table
 
     def run(batches):
