@@ -183,7 +183,7 @@ def scan(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     docs = docs.drop("licenses", "expressions", "verdict")
     columns = [c for c in docs.columns if c != "text"]
-    fields = T.StructType([f for f in docs.schema.fields if f.name != "text"]).add("licenses", "array<string>").add("expressions", "array<string>").add("verdict", "string")
+    fields = T.StructType([f for f in docs.schema.fields if f.name != "text"]).add("licenses", T.ArrayType(T.StringType())).add("expressions", T.ArrayType(T.StringType())).add("verdict", "string")
 
     def run(batches):
         automaton = _automaton()
