@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,16 +18,24 @@ def _trim(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?s)^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+\z", ""), r"/+\z", "")
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c evaluated once: Catalyst has no other binding inside a Column, and repeating a long expression in its users multiplies plans."""
+    return F.transform(F.array(c), f)[0]
+
+
 def normalize(c: Column) -> Column:
     """Canonical http(s) URL: scheme and host folded, fragment and the path's trailing slashes dropped; empty if it isn't one."""
-    t = _trim(F.coalesce(c, F.lit("")))
-    scheme = ascii_lower(F.regexp_extract(t, r"(?s)^(.*?)://", 1))
-    rest = F.regexp_extract(t, r"(?s)^.*?://([^#]*)", 1)
-    host = F.regexp_extract(rest, r"^[^/?]*", 0)
-    tail = F.substring(rest, F.length(host) + 1, F.length(rest))
-    path = F.regexp_replace(F.regexp_extract(tail, r"^[^?]*", 0), r"/+\z", "")
-    query = F.regexp_extract(tail, r"(?s)\?.*\z", 0)
-    return F.when(scheme.isin("http", "https") & (host != ""), F.concat(scheme, F.lit("://"), ascii_lower(host), path, query)).otherwise("")
+
+    def split(t: Column) -> Column:
+        rest = F.regexp_extract(t, r"(?s)^.*?://([^#]*)", 1)
+        return F.struct(ascii_lower(F.regexp_extract(t, r"(?s)^(.*?)://", 1)).alias("scheme"), F.regexp_extract(rest, r"^[^/?]*", 0).alias("host"), F.regexp_extract(rest, r"(?s)^[^/?]*(.*)\z", 1).alias("tail"))
+
+    def join(u: Column) -> Column:
+        path = F.regexp_replace(F.regexp_extract(u["tail"], r"^[^?]*", 0), r"/+\z", "")
+        query = F.regexp_extract(u["tail"], r"(?s)\?.*\z", 0)
+        return F.when(u["scheme"].isin("http", "https") & (u["host"] != ""), F.concat(u["scheme"], F.lit("://"), ascii_lower(u["host"]), path, query)).otherwise("")
+
+    return let(_trim(F.coalesce(c, F.lit(""))), lambda t: let(split(t), join))
 
 
 def remove_dots(path: Column) -> Column:
@@ -38,26 +48,25 @@ def remove_dots(path: Column) -> Column:
 
 def absolutize(raw: Column, source: Column, base: Column) -> Column:
     """A link as a canonical URL, relative to base or, without a usable one, to the page; empty if it can't be."""
-    link = _trim(F.coalesce(raw, F.lit("")))
-    b = normalize(base)
-    context = F.when(b != "", b).otherwise(normalize(source))
-    scheme = F.regexp_extract(context, r"^(.*?)://", 1)
-    rest = F.regexp_extract(context, r"(?s)^.*?://(.*)\z", 1)
-    authority = F.regexp_extract(rest, r"^[^/?]*", 0)
-    path = F.regexp_extract(F.substring(rest, F.length(authority) + 1, F.length(rest)), r"^[^?]*", 0)
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    folder = F.regexp_extract(path, r"^(.*/)[^/]*\z", 1)
-    root = F.concat(scheme, F.lit("://"), authority)
-    unsupported = link.rlike(r"^[^/?#:]*:")
-    return (
-        F.when((link == "") | link.startswith("#"), F.lit(""))
-        .when(link.startswith("http://") | link.startswith("https://"), normalize(link))
-        .when(unsupported | (context == ""), F.lit(""))
-        .when(link.startswith("//"), normalize(F.concat(scheme, F.lit(":"), link)))
-        .when(link.startswith("?"), normalize(F.concat(root, path, link)))
-        .when(link.startswith("/"), normalize(F.concat(root, remove_dots(link))))
-        .otherwise(normalize(F.concat(root, remove_dots(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), link)))))
-    )
+
+    def split(context: Column) -> Column:
+        whole = F.regexp_extract(F.regexp_extract(context, r"(?s)^.*?://[^/?]*(.*)\z", 1), r"^[^?]*", 0)
+        return F.struct(F.regexp_extract(context, r"^(.*?)://", 1).alias("scheme"), F.regexp_extract(context, r"^.*?://[^/?]*", 0).alias("root"), F.when(whole == "", F.lit("/")).otherwise(whole).alias("path"))
+
+    def resolve(link: Column, u: Column) -> Column:
+        folder = F.regexp_extract(u["path"], r"^(.*/)[^/]*\z", 1)
+        rooted = F.when(link.startswith("/"), link).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), link))
+        return (
+            F.when((link == "") | link.startswith("#"), F.lit(""))
+            .when(link.startswith("http://") | link.startswith("https://"), link)
+            .when(link.rlike(r"^[^/?#:]*:") | (u["root"] == ""), F.lit(""))
+            .when(link.startswith("//"), F.concat(u["scheme"], F.lit(":"), link))
+            .when(link.startswith("?"), F.concat(u["root"], u["path"], link))
+            .otherwise(F.concat(u["root"], let(rooted, remove_dots)))
+        )
+
+    context = let(normalize(base), lambda b: F.when(b != "", b).otherwise(normalize(source)))
+    return normalize(let(_trim(F.coalesce(raw, F.lit(""))), lambda link: let(split(context), lambda u: resolve(link, u))))
 
 
 def host_port(c: Column) -> Column:
@@ -133,8 +142,7 @@ def fair_percent_encoding(c: Column) -> Column:
 
 def passes_quality(c: Column) -> Column:
     """Canonical, in an allowed domain, no media suffix, no heavy encoding."""
-    n = normalize(c)
-    return (n != "") & allowed_tld(n) & ~bad_extension(n) & fair_percent_encoding(n)
+    return let(normalize(c), lambda n: (n != "") & allowed_tld(n) & ~bad_extension(n) & fair_percent_encoding(n))
 
 
 def crawlable_extension(c: Column) -> Column:

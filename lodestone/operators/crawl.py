@@ -18,11 +18,10 @@ def drop_blacklisted(df: DataFrame, blacklist: DataFrame, url_col: str = "url")
     Each host is split into its parent domains, so the match is an equi-join whatever the list's size; AQE broadcasts a
     list that is small when measured."""
     h = ascii_lower(U.host(F.col(url_col)))
-    labels = F.split(h, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    hosts = df.select(h.alias("_h")).distinct().select("_h", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("_h", r"\."))), lambda i: F.array_join(F.slice(F.split("_h", r"\."), i, F.size(F.split("_h", r"\."))), "."))).alias("_d"))
+    labels = F.split("_h", r"\.")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    hosts = df.select(h.alias("_h")).distinct().select("_h", F.explode(parents).alias("_d"))
     bad = hosts.join(blacklist.select(ascii_lower(F.col("domain")).alias("_d")).distinct(), "_d", "left_semi").select("_h").distinct()
-    del domains
     return df.withColumn("_h", h).join(bad, "_h", "left_anti").drop("_h")
 
 

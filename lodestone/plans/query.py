@@ -182,15 +182,18 @@ def _phrase_terms(node: Node) -> set[str]:
     return set().union(*map(_phrase_terms, node.positive + node.negative if isinstance(node, And) else node.parts))
 
 
+def _shifted(locations: Column, k: int) -> Column:
+    return F.transform(locations, lambda x: x - k)  # one parameter: a second would be the index
+
+
 def predicate(node: Node, name: dict[str, str]) -> Column:
     """The tree as one Column over has_<term> flags and at_<term> location arrays."""
     if isinstance(node, Term):
         return F.col("has_" + name[node.text])
     if isinstance(node, Phrase):
-        shifted = [F.transform(F.col("at_" + name[t]), lambda x, k=k: x - k) for k, t in enumerate(node.terms)]
-        common = shifted[0]
-        for s in shifted[1:]:
-            common = F.array_intersect(common, s)
+        common = F.col("at_" + name[node.terms[0]])
+        for k, t in enumerate(node.terms[1:], 1):
+            common = F.array_intersect(common, _shifted(F.col("at_" + name[t]), k))
         return F.size(common) > 0
     if isinstance(node, Or):
         out = predicate(node.parts[0], name)
@@ -258,6 +261,6 @@ def merge_top_k(parts: list[DataFrame], k: int) -> DataFrame:
 
 def to_json(result: DataFrame, query: str) -> DataFrame:
     """One JSON text: query, total_results and results with four-digit scores."""
-    rows = result.select(F.struct(F.desc("score") if False else (-F.col("score")).alias("o"), "doc_id", F.struct("url", "title", "snippet", F.format_number("score", 4).alias("score")).alias("r")).alias("x"))
+    rows = result.select(F.struct((-F.col("score")).alias("o"), "doc_id", F.struct("url", "title", "snippet", F.format_number("score", 4).alias("score")).alias("r")).alias("x"))
     agg = rows.agg(F.sort_array(F.collect_list("x")).alias("x"))
     return agg.select(F.to_json(F.struct(F.lit(query).alias("query"), F.size("x").alias("total_results"), F.col("x.r").alias("results"))).alias("json"))
