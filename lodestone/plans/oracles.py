@@ -55,7 +55,7 @@ _BOOLEAN = {
     "bool_negatives_only": "false",
     "phrase2": _phrase("of", "the"),
     "phrase3": _phrase("in", "of", "the"),
-    "bool_mixed": f"({_phrase('of', 'the')} OR {_phrase('de', 'la')}) AND NOT {_has('and')}",
+    "bool_mixed": f"({_phrase('of', 'the')} OR {_phrase('de', 'la')}) AND NOT {_has('die')}",
     "bool_hyphen": f"{_has('555-3824')} OR {_has('der')}",
 }
 assert _BOOLEAN.keys() == BOOLEAN.keys()

@@ -29,7 +29,7 @@ BOOLEAN = {
     "bool_negatives_only": "-the",
     "phrase2": '"of the"',
     "phrase3": '"in of the"',
-    "bool_mixed": '("of the" OR "de la") -and',
+    "bool_mixed": '("of the" OR "de la") -die',
     "bool_hyphen": "555-3824 OR der",
 }
 BLACKLIST = ("spam-farm.example.org", "casino-win.example.net", "github.com", "reddit.com", "example.net")
