@@ -66,3 +66,15 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a path that scratch() gave."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores added until none is among the columns in any case."""
+    used = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        used.add(n.lower())
+        out.append(n)
+    return out
