@@ -16,8 +16,7 @@ from lodestone.session import persist_table, table
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier grades clean; trained on the labelled ones among them."""
     model = quality.train(docs, table(spark, sf_dir, "labels"), quality.rating())
-    scored = quality.score(docs, model, quality.SELECT_GRADE, quality.LEAST)
-    return scored.where("keep").select([f"`{c}`" for c in docs.columns])
+    return quality.select(docs, model, quality.SELECT_GRADE, quality.LEAST)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

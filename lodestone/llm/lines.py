@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.session import persist_table, remove, scratch
+from lodestone.session import fresh, persist_table, remove, scratch
 
 BATCHES = 4
 FANOUT = 3
@@ -106,17 +106,18 @@ def kept_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) ->
 
 def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """``docs`` with repeated lines removed from text, without repeated rows and documents that hold nothing new."""
-    kept = kept_lines(docs, batches, fanout).select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("lines").alias("_lines"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)), "_key": F.coalesce(F.xxhash64("text"), F.lit(0))})
-    joined = keyed.join(kept, ["_id", "_key"], "left")
+    own, key, lines_of, number = fresh(docs.columns, "_id", "_key", "_lines", "_n")
+    kept = kept_lines(docs, batches, fanout).select(F.col("id").alias(own), F.col("key").alias(key), F.col("lines").alias(lines_of))
+    keyed = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)), key: F.coalesce(F.xxhash64("text"), F.lit(0))})
+    joined = keyed.join(kept, [own, key], "left")
     rest = [c for c in docs.columns if c not in ("text", "doc_id")]
     order = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in rest]) if rest else F.lit(0)
-    one = joined.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(order)))
+    one = joined.withColumn(number, F.row_number().over(Window.partitionBy(own, key).orderBy(order)))
     blank = F.col("text").isNull() | (F.regexp_replace("text", "[ \n]", "") == "")
     whole = F.split("text", "\n")
-    lines = F.filter(whole, lambda x, i: (F.trim(x) == "") | F.array_contains("_lines", i))
-    new = F.when(blank | (F.size("_lines") == F.size(F.filter(whole, lambda x: F.trim(x) != ""))), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    stay = one.where(blank | (F.col("_lines").isNotNull() & (F.col("_n") == 1)))
+    lines = F.filter(whole, lambda x, i: (F.trim(x) == "") | F.array_contains(lines_of, i))
+    new = F.when(blank | (F.size(lines_of) == F.size(F.filter(whole, lambda x: F.trim(x) != ""))), F.col("text")).otherwise(F.array_join(lines, "\n"))
+    stay = one.where(blank | (F.col(lines_of).isNotNull() & (F.col(number) == 1)))
     return stay.withColumn("text", new).select([f"`{c}`" for c in docs.columns])
 
 

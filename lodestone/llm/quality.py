@@ -172,6 +172,10 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column, most_per_grade: int
     return fit(texts, y)
 
 
+def _tail(tails: np.ndarray, grade: int) -> np.ndarray:
+    return tails[:, grade - 1] if 0 < grade <= tails.shape[1] else np.full(len(tails), float(grade <= 0))
+
+
 def score(docs: DataFrame, model: OrdinalModel, select_grade: int, least: float = 0.5) -> DataFrame:
     """``docs`` with expected_grade, p_tail = P(grade >= select_grade) and keep = p_tail >= least (columns of these names are replaced)."""
     spark = docs.sparkSession
@@ -184,12 +188,26 @@ def score(docs: DataFrame, model: OrdinalModel, select_grade: int, least: float
         m = OrdinalModel(*shared.value)
         for batch in batches:
             tails = m.tails(batch.column("text"))
-            p = tails[:, select_grade - 1] if 0 < select_grade <= tails.shape[1] else np.full(len(tails), float(select_grade <= 0))
+            p = _tail(tails, select_grade)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tails.sum(1)), pa.array(p), pa.array(p >= least)], names=fields.names)
 
     return docs.mapInArrow(run, fields)
 
 
+def select(docs: DataFrame, model: OrdinalModel, select_grade: int, least: float = 0.5) -> DataFrame:
+    """The documents with P(grade >= select_grade) >= least; columns as given, whatever their names."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast((model.weights, model.thresholds))
+
+    def run(batches):
+        m = OrdinalModel(*shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(_tail(m.tails(batch.column("text")), select_grade) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 SELECT_GRADE, LEAST = 2, 0.5
 
 

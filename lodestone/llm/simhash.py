@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import arrays as A
 from lodestone.llm.components import connected_components, merge_labels
-from lodestone.session import persist_table, ship
+from lodestone.session import fresh, persist_table, ship
 
 BITS = 256
 DISTANCE = 46
@@ -211,8 +211,9 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, recall: float = R
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents without those that ``near_duplicates`` doesn't keep, and without repeated rows; columns as given."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    stay = keyed.join(gone, (F.col("doc_id").cast("long") == F.col("_gone_id")) & (F.col("_key") == F.col("_gone_key")), "left_anti")
-    named = Window.partitionBy("doc_id", "_key").orderBy(F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns if c != "text"]))
-    return stay.withColumn("_n", F.row_number().over(named)).where("doc_id is null or _n = 1").drop("_n", "_key")
+    key, number, gone_id, gone_key = fresh(docs.columns, "_key", "_n", "_gone_id", "_gone_key")
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    stay = keyed.join(gone, (F.col("doc_id").cast("long") == F.col(gone_id)) & (F.col(key) == F.col(gone_key)), "left_anti")
+    named = Window.partitionBy("doc_id", key).orderBy(F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns if c != "text"]))
+    return stay.withColumn(number, F.row_number().over(named)).where(F.col("doc_id").isNull() | (F.col(number) == 1)).drop(number, key)
