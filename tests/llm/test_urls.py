@@ -1,0 +1,49 @@
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import urls as U
+from lodestone.session import table
+
+
+@pytest.fixture(scope="module")
+def model():
+    return U.fit()
+
+
+def test_parts():
+    host, path = U.host_and_path(pa.array(["HTTPS://User@Host.Example.com:8080/A/b.html?q#f", "host/path", None, "", "//h?x", "http://h"]))
+    assert host.to_pylist() == ["^host.example.com$", "", "", "", "^h$", "^h$"]
+    assert path.to_pylist() == ["/a/b.html$", "host/path$", "", "", "", ""]
+
+
+def test_features_by_definition():
+    row, cell = U.features(pa.array(["http://abc/"]))
+    grams = {(f, s[i : i + n]) for f, s in ((0, "^abc$"), (1, "/$")) for n in (3, 4, 5) for i in range(len(s) - n + 1)}
+    assert len(cell) == len(grams) and (row == 0).all()
+
+
+def test_held_out_urls(model):
+    bad = ["https://casino-win.example.org/en/1", "http://www.cheap-pills.example.com/fr/2?page=2", "https://spam-farm.example.net/x", "https://best-casino-bonus.org/", "http://free-bets24.com/p"]
+    good = ["https://www.therin.example.org/en/1", "http://blog.library.example.com/de/9", "https://gardening-notes.net/2024/soil", "https://m.otion.example.net/en/7.html", ""]
+    p = U.probabilities(pa.array(bad + good), *model)
+    assert (p[: len(bad)] >= 0.5).all() and (p[len(bad) :] < 0.5).all(), p
+
+
+def test_pages(spark, model):
+    got = U.score(table(spark, "/root/testdata/sf0.01", "pages").select("page_id", "url"), *model)
+    spam = F.col("url").rlike("casino|pills|spam|bets|adult")
+    share = {r.spam: r.blocked for r in got.groupBy(spam.alias("spam")).agg(F.avg(F.col("blocked").cast("int")).alias("blocked")).collect()}
+    assert share[True] > 0.95 and share[False] < 0.02, share
+
+
+def test_edges(spark, model):
+    rows = [(1, "https://casino-win.example.org/", 1.0, "b"), (1, "https://casino-win.example.org/", 1.0, "b"), (None, None, None, None), (2, "", 0.0, ""), (3, "not a url", 0.0, ""), (4, "http://x.org/" + "a" * 1_000_000, 0.0, "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, p_block double, blocked string")
+    got = U.score(df, *model)
+    assert got.columns == ["page_id", "url", "p_block", "blocked"]
+    assert [r.blocked for r in got.orderBy("page_id").collect()] == [False, True, True, False, False, False]
+    assert U.score(df.limit(0), *model).count() == 0
+    w, b = U.fit([("http://a.com", 1)] * 3)
+    assert (U.probabilities(pa.array(["x", None]), w, b) > 0.5).all() and not np.any(w)
