@@ -28,11 +28,11 @@ def normal_word(c: Column) -> Column:
 
 
 def word_forms(c: Column) -> Column:
-    """Array of the forms that a raw word is indexed under (before stemming): itself and, at its first hyphen, its two parts."""
+    """Array of the forms that a raw word is indexed under (before stemming): itself and, at its first hyphen, its two parts; none of null."""
     w = normal_word(c)
     at = F.instr(w, "-")
     split = F.array(w, F.substring(w, F.lit(1), at - 1), F.substring(w, at + 1, F.length(w)))
-    return F.when(w == "", F.array().cast("array<string>")).when((at > 1) & (at < F.length(w)), split).otherwise(F.array(w))
+    return F.when(w.isNull() | (w == ""), F.array().cast("array<string>")).when((at > 1) & (at < F.length(w)), split).otherwise(F.array(w))
 
 
 def words(c: Column) -> Column:
