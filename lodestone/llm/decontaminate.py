@@ -1,7 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and items are normalised alike: ASCII letters are folded, bytes that are no letter or digit (and below
-128) become spaces, runs of spaces one. An item of n normalised bytes has a budget of
+Texts and items are normalised alike: letters of all alphabets are folded to lower case, bytes that are no letter
+or digit (and below 128) become spaces, runs of spaces one. An item of n normalised bytes has a budget of
 k = floor(error_rate * n) edits and is cut into k + 1 pieces of nearly equal length. Wherever a text holds
 the item with at most k edits, at least one piece stands there unchanged, so an Aho-Corasick scan
 for all pieces misses nothing; each place it finds is verified with Myers' bit-parallel distance over
@@ -22,6 +22,7 @@ from __future__ import annotations
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ PIECES_PER_PASS = 200_000
 _FOLD = np.full(256, 32, np.uint8)
 for _b in range(256):
     if A.WORD[_b]:
-        _FOLD[_b] = _b + 32 if 65 <= _b <= 90 else _b
+        _FOLD[_b] = _b
 
 
 def normalise(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,8 +56,13 @@ def normalise(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, out_off
 
 
+def folded(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts in lower case."""
+    return A.buffers(pc.utf8_lower(col))
+
+
 def normalise_text(text: str | None) -> bytes:
-    out, _ = normalise(*A.buffers(pa.array([text or ""])))
+    out, _ = normalise(*folded(pa.array([text or ""])))
     return bytes(out[:-1]).strip()
 
 
@@ -114,7 +120,7 @@ class Matcher:
         if not self.items:
             return out
         for i, j in A.row_blocks(col, 1 << 22):
-            data, off = normalise(*A.buffers(col.slice(i, j - i)))
+            data, off = normalise(*folded(col.slice(i, j - i)))
             raw = data.tobytes()
             hits = [(end + 1 - size, places) for end, (size, places) in self.automaton.iter(raw.decode("latin-1"))]
             if not hits:

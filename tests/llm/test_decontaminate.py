@@ -31,6 +31,12 @@ def test_normalise():
     assert D.normalise_text(None) == b""
 
 
+def test_case_of_all_alphabets_is_folded():
+    item = "Éléonore a reçu des élèves près de l'école, ΩΣ и Ёлка"
+    m = D.Matcher([(1, D.normalise_text(item))])
+    assert m.rows(pa.array(["Vor " + item.upper() + "!", None, item])) == [(0, 0, 0), (2, 0, 0)]
+
+
 def test_pieces_cover_the_item():
     item = bytes(range(65, 65 + 26)) * 4
     cuts = D.cut(item)
