@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +74,17 @@ class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray
 
+    def shared(self, spark: SparkSession):
+        """A broadcast of the cells that have a weight: far fewer than 2**22, whatever the corpus."""
+        used = np.flatnonzero(self.weights).astype(np.int32)
+        return spark.sparkContext.broadcast((used, self.weights[used], self.thresholds))
+
+    @staticmethod
+    def of(used: np.ndarray, values: np.ndarray, thresholds: np.ndarray) -> OrdinalModel:
+        weights = np.zeros(1 << DIM_BITS, np.float32)
+        weights[used] = values
+        return OrdinalModel(weights, thresholds)
+
     def tails(self, col: pa.Array) -> np.ndarray:
         """P(grade >= k), k = 1 .. K-1, for each text."""
         n = len(col)
@@ -84,27 +95,38 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds, -50, 50)))
 
 
+def blocks_of_features(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``features`` of a whole column, as 32-bit numbers."""
+    rows, cells = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for i, j in A.row_blocks(col):
+        r, c = features(col.slice(i, j - i))
+        rows.append((r + i).astype(np.int32))
+        cells.append(c.astype(np.int32))
+    return np.concatenate(rows), np.concatenate(cells)
+
+
 def fit(texts: pa.Array, grades: np.ndarray, steps: int = 60, l2: float = 1e-4) -> OrdinalModel:
-    """Maximum likelihood by L-BFGS; deterministic."""
+    return fit_cells(*blocks_of_features(texts), grades, steps, l2)
+
+
+def fit_cells(rows: np.ndarray, cells: np.ndarray, grades: np.ndarray, steps: int = 60, l2: float = 1e-4) -> OrdinalModel:
+    """Maximum likelihood by L-BFGS over each row's cells; deterministic."""
     kinds = np.unique(grades)
     top = int(kinds[-1]) if len(kinds) else 0
     if len(kinds) < 2:
         return OrdinalModel(np.zeros(1 << DIM_BITS, np.float32), np.full(top, -np.inf))
-    rows, cells = [], []
-    for i, j in A.row_blocks(texts):
-        r, c = features(texts.slice(i, j - i))
-        rows.append(r + i)
-        cells.append(c)
-    rows, cells = np.concatenate(rows).astype(np.int32), np.concatenate(cells).astype(np.int32)
     y = np.asarray(grades, np.int64)
-    seen = np.bincount(cells, minlength=1 << DIM_BITS).astype(np.float64)
-    strength = np.zeros(1 << DIM_BITS)
+    seen = np.bincount(cells, minlength=1 << DIM_BITS)
+    often = np.flatnonzero(seen >= 3)
+    seen = seen[often].astype(np.float64)
+    strength = np.zeros(len(often))
     for g in kinds[1:]:
         high = y >= g
-        a = np.bincount(cells, high[rows], 1 << DIM_BITS)
+        a = np.bincount(cells[high[rows]], minlength=1 << DIM_BITS)[often]
         share = high.mean()
         strength = np.maximum(strength, (a - seen * share) ** 2 / np.maximum(seen * share * (1 - share) * (1 - seen / len(y)), 1e-9))
-    chosen = (seen >= 3) & (strength > CHI2)
+    chosen = np.zeros(1 << DIM_BITS, bool)
+    chosen[often[strength > CHI2]] = True
     rows, cells = rows[chosen[cells]], cells[chosen[cells]]
     used, cells = np.unique(cells, return_inverse=True)
     n, k, f = len(y), top, len(used)
@@ -153,23 +175,34 @@ def fit(texts: pa.Array, grades: np.ndarray, steps: int = 60, l2: float = 1e-4)
     return OrdinalModel(weights, theta[f] + np.concatenate([[0.0], np.cumsum(np.exp(theta[f + 1 :]))]))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, grade: Column, most_per_grade: int = MOST_PER_GRADE, grades: int = 3) -> tuple[pa.Array, np.ndarray]:
-    """Texts and grades of the labelled documents that have, in each grade, the least hashes of doc_id."""
+def training_features(docs: DataFrame, labels: DataFrame, grade: Column, most_per_grade: int = MOST_PER_GRADE, grades: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell) features and grades of the labelled documents that have, in each grade, the least hashes of doc_id.
+
+    Tasks turn texts into cells; the driver gets the cells of the bounded sample only."""
+    ship(docs.sparkSession)
     rated = labels.select(F.col("doc_id").cast("long").alias("_id"), grade.cast("int").alias("_grade")).where("_id is not null and _grade is not null")
     picked = None
     for g in range(grades):
         part = rated.where(F.col("_grade") == g).distinct().orderBy(F.xxhash64("_id"), "_id").limit(most_per_grade)
         picked = part if picked is None else picked.union(part)
+
+    def run(batches):
+        for batch in batches:
+            row, cell = blocks_of_features(batch.column("text"))
+            edges = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_grade", "_key")), pa.ListArray.from_arrays(pa.array(edges), pa.array(cell))], names=["_id", "_grade", "_key", "cells"])
+
     # the sample is bounded by its parameter, so sending its ids to every task is too
     text = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").where("text is not null").join(F.broadcast(picked), "_id")
-    got = text.select("_id", "text", "_grade").orderBy("_id", "_grade", F.xxhash64("text")).toArrow().combine_chunks()
-    col = got.column("text")
-    return (col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col), got.column("_grade").to_numpy()
+    cells = text.select("_id", "_grade", F.xxhash64("text").alias("_key"), "text").mapInArrow(run, "_id long, _grade int, _key long, cells array<int>")
+    got = cells.orderBy("_id", "_grade", "_key").toArrow()
+    lists = got.column("cells").combine_chunks()
+    size = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
+    return np.repeat(np.arange(len(size), dtype=np.int32), size), lists.flatten().to_numpy(), got.column("_grade").to_numpy()
 
 
 def train(docs: DataFrame, labels: DataFrame, grade: Column, most_per_grade: int = MOST_PER_GRADE, grades: int = 3) -> OrdinalModel:
-    texts, y = training_sample(docs, labels, grade, most_per_grade, grades)
-    return fit(texts, y)
+    return fit_cells(*training_features(docs, labels, grade, most_per_grade, grades))
 
 
 def _tail(tails: np.ndarray, grade: int) -> np.ndarray:
@@ -181,11 +214,11 @@ def score(docs: DataFrame, model: OrdinalModel, select_grade: int, least: float
     spark = docs.sparkSession
     ship(spark)
     docs = docs.drop("expected_grade", "p_tail", "keep")
-    shared = spark.sparkContext.broadcast((model.weights, model.thresholds))  # 16 MB whatever the corpus
+    shared = model.shared(spark)
     fields = T.StructType([*docs.schema.fields]).add("expected_grade", "double").add("p_tail", "double").add("keep", "boolean")
 
     def run(batches):
-        m = OrdinalModel(*shared.value)
+        m = OrdinalModel.of(*shared.value)
         for batch in batches:
             tails = m.tails(batch.column("text"))
             p = _tail(tails, select_grade)
@@ -198,10 +231,10 @@ def select(docs: DataFrame, model: OrdinalModel, select_grade: int, least: float
     """The documents with P(grade >= select_grade) >= least; columns as given, whatever their names."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast((model.weights, model.thresholds))
+    shared = model.shared(spark)
 
     def run(batches):
-        m = OrdinalModel(*shared.value)
+        m = OrdinalModel.of(*shared.value)
         for batch in batches:
             yield batch.filter(pa.array(_tail(m.tails(batch.column("text")), select_grade) >= least))
 
