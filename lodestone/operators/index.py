@@ -15,10 +15,10 @@ from lodestone.session import ship
 NO_ANCHOR = "PageWithNoAnchorText"
 
 
-def raw_tokens(docs: DataFrame, id_col: str, words: Column) -> DataFrame:
+def raw_tokens(docs: DataFrame, id_col: str, words: Column, **carried: Column) -> DataFrame:
     """(id, loc, form): every raw word takes one location, whether it gives no form, one or three."""
-    at = docs.select(F.col(id_col), F.posexplode(words).alias("loc", "word"))
-    return at.select(id_col, F.col("loc").cast("long").alias("loc"), F.explode(X.word_forms(F.col("word"))).alias("form")).where("form <> ''")
+    at = docs.select(F.col(id_col), *[c.alias(n) for n, c in carried.items()], F.posexplode(words).alias("loc", "word"))
+    return at.select(id_col, *carried, F.col("loc").cast("long").alias("loc"), F.explode(X.word_forms(F.col("word"))).alias("form")).where("form <> ''")
 
 
 def text_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -28,9 +28,8 @@ def text_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def page_tokens(parsed: DataFrame, id_col: str = "page_id") -> DataFrame:
     """(id, loc, field, term): stemmed tokens, the title's locations first, then the body's."""
-    titles = F.size("title_words")
-    t = raw_tokens(parsed, id_col, F.concat("title_words", "words")).join(parsed.select(id_col, titles.alias("_t")), id_col)
-    t = t.withColumn("field", F.when(F.col("loc") < F.col("_t"), "title").otherwise("body")).drop("_t")
+    t = raw_tokens(parsed, id_col, F.concat("title_words", "words"), titles=F.size("title_words"))
+    t = t.withColumn("field", F.when(F.col("loc") < F.col("titles"), "title").otherwise("body"))
     return with_stems(t).select(id_col, "loc", "field", F.col("stem").alias("term"))
 
 
