@@ -52,6 +52,17 @@ def test_held_out_accuracy(spark):
     assert got.agg(F.avg((F.col("predicted") == F.col("lang")).cast("int"))).first()[0] > 0.95
 
 
+def test_sample_has_the_least_hashes(spark, monkeypatch):
+    rows = [(k, "en", f"text {k}") for k in range(500)] + [(None, "de", f"null id {k}") for k in range(100)] + [(7, "fr", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda texts, parts: seen.extend(t.to_pylist() for t in texts))
+    langid.train(docs, langid.MODEL, docs_per_language=10)
+    want = docs.where("lang = 'en'").orderBy(F.xxhash64("doc_id")).limit(10).collect()
+    assert seen[1] == [r.text for r in want]
+    assert len(seen[0]) == 10 and seen[2] == seen[3] == []
+
+
 def test_edges(edge_docs, no_docs):
     parts = pieces(langid.MODEL)
     prob = langid.fit([pa.array(["der die das"]), pa.array(["the and of"]), pa.array([], pa.string()), pa.array([None], pa.string())], parts)
