@@ -21,11 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import arrays as A
+from lodestone.llm.sampling import below
 from lodestone.llm.vocab import TOKENIZERS, pieces
 from lodestone.session import ship
 
@@ -228,13 +229,28 @@ def log_likelihoods(col: pa.Array, vocabulary: Vocabulary, prob: np.ndarray, mem
 
 
 def train(docs: DataFrame, path: str, languages: tuple[str, ...] = LANGUAGES, docs_per_language: int = DOCS_PER_LANGUAGE) -> tuple[list[bytes], np.ndarray]:
-    """Fit on a bounded, documented sample of labelled documents."""
-    columns = []
-    for lang in languages:
-        sample = docs.where(F.col("lang") == lang).where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(docs_per_language).select("text").toArrow()
-        columns.append(pa.array(sample.column("text").to_pylist(), pa.string()))
+    """Fit on a bounded, documented sample of labelled documents, found in one scan of the texts (after one of the labels).
+
+    A language that the pre-selection by hash leaves short, as equal or null ids can, is read again without it."""
+    named = docs.where(F.col("lang").isin(*languages))
+    count = {r.lang: r.n for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    h = F.xxhash64("doc_id")
+    found: dict[str, list[str]] = {}
+    for wary in (True, False):
+        want = [x for x in languages if len(found.get(x, [])) < min(docs_per_language, count.get(x, 0))]
+        if not want:
+            break
+        chosen = F.lit(False)
+        for x in want:
+            chosen = chosen | ((F.col("lang") == x) & (below(h, docs_per_language, count[x]) if wary else F.lit(True)))
+        place = F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id", F.xxhash64("text")))
+        sample = named.where(chosen & F.col("text").isNotNull()).select("lang", "text", place.alias("place")).where(F.col("place") <= docs_per_language)
+        got = sample.orderBy("lang", "place").toArrow()
+        found |= {x: [] for x in want}
+        for x, text in zip(got.column("lang").to_pylist(), got.column("text").to_pylist(), strict=True):
+            found[x].append(text)
     parts = pieces(path)
-    return parts, fit(columns, parts)
+    return parts, fit([pa.array(found.get(x, []), pa.string()) for x in languages], parts)
 
 
 def identify(docs: DataFrame, parts: list[bytes], prob: np.ndarray, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
