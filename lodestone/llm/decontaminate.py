@@ -13,6 +13,9 @@ repeated rows give a row each in ``distinct`` form, that is one per (doc_id, ite
 Rows with null doc_id never appear among the pairs and are judged like others by ``drop_contaminated``. An empty
 benchmark or table gives no pairs. Extra columns, also ones named like the results, are carried or ignored.
 
+With ``by_line`` the parts of an item that ``parts`` gives are matched besides the item, each with a budget of its own, so
+that a text marks itself that an earlier line dedup left only some of an item's lines.
+
 The benchmark is sent to every task in automata of at most ``pieces_per_pass`` pieces; a larger benchmark
 takes more passes over the texts, never a larger broadcast.
 """
@@ -150,20 +153,32 @@ class Matcher:
         return out
 
 
-def passes(benchmark: DataFrame, error_rate: float = ERROR_RATE, least: int = LEAST, pieces_per_pass: int = PIECES_PER_PASS) -> list[list[tuple[int, bytes]]]:
+def parts(text: str, least: int = LEAST) -> list[bytes]:
+    """The normalised lines of an item of ``least`` bytes or more; shorter ones in a row are joined until they have them."""
+    out, held = [], b""
+    for line in map(normalise_text, text.split("\n")):
+        held = line if len(line) >= least else b" ".join(filter(None, (held, line)))
+        if len(held) >= least:
+            out.append(held)
+            held = b""
+    return out
+
+
+def passes(benchmark: DataFrame, error_rate: float = ERROR_RATE, least: int = LEAST, pieces_per_pass: int = PIECES_PER_PASS, by_line: bool = False) -> list[list[tuple[int, bytes]]]:
     """The items, normalised, in groups that each fit one automaton. The benchmark goes through the driver, a chunk at a time."""
     groups: list[list[tuple[int, bytes]]] = [[]]
     count = 0
     for item_id, text in benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
-        item = normalise_text(text)
-        if len(item) < least:
-            continue
-        n = int(error_rate * len(item)) + 1
-        if count + n > pieces_per_pass and groups[-1]:
-            groups.append([])
-            count = 0
-        groups[-1].append((int(item_id), item))
-        count += n
+        whole = normalise_text(text)
+        for item in dict.fromkeys([whole, *(parts(text, least) if by_line else [])]):
+            if len(item) < least:
+                continue
+            n = int(error_rate * len(item)) + 1
+            if count + n > pieces_per_pass and groups[-1]:
+                groups.append([])
+                count = 0
+            groups[-1].append((int(item_id), item))
+            count += n
     return groups
 
 
@@ -210,11 +225,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RAT
     return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, least: int = LEAST, pieces_per_pass: int = PIECES_PER_PASS) -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark item; no shuffle, each pass filters in place."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, least: int = LEAST, pieces_per_pass: int = PIECES_PER_PASS, by_line: bool = False) -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark item (``by_line``: or a part of one); no shuffle, each pass filters in place."""
     spark = docs.sparkSession
     ship(spark)
-    for group in passes(benchmark, error_rate, least, pieces_per_pass):
+    for group in passes(benchmark, error_rate, least, pieces_per_pass, by_line):
         if not group:
             continue
         shared = _Shared(spark.sparkContext.broadcast(group))

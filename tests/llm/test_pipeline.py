@@ -58,3 +58,13 @@ def test_queries_are_registered():
     for n in range(1, 11):
         assert sum(k.startswith(f"op{n}_") for k in q) == 1
     assert "pipeline" in q and set(e.oracle_sql()) <= set(q)
+
+
+def test_item_cut_by_line_dedup_still_marks_its_document(spark, tmp_path):
+    first, middle, last = "Which of the northern harbours freezes over first in winter", "when the wind has blown from the east for several weeks on end", "and the river brings no warmer water from the hills behind it"
+    spark.createDataFrame([(1, f"{first}\n{middle}\n{last}")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [f"One host begins so. {first}\n{middle}\n{last} One host ends.", f"Another begins. {first}\n{middle}\n{last} Another ends.", f"A third host has nothing of it.\nIt stays, {first[:30]}"]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    left = P.line_dedup(spark, docs, str(tmp_path))
+    assert sum(middle in r.text for r in left.collect()) == 1
+    assert [r.doc_id for r in P.benchmark_filter(spark, left, str(tmp_path)).collect()] == [2]
