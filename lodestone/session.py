@@ -59,7 +59,14 @@ def persist_table(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, and survives the loss of executors."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.lodestone_path = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table of persist_table that no result reads any more."""
+    remove(df.sparkSession, df.lodestone_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
