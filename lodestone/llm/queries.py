@@ -42,6 +42,11 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def vector_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors with a noisy and a scaled copy of each, since the supplied ones may hold no near copies."""
+    return vectors.near_duplicate_vectors(vectors.with_near_copies(table(spark, sf_dir, "embeddings")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.score(table(spark, sf_dir, "pages").select("page_id", "url"), weights, bias)
 
 
-_ALL = (op1_simhash_near_dedup, op2_quality_classifier, op3_language_id, op4_benchmark_decontamination, op5_rans_tokens, op6_license_scan, op7_embedding_near_dedup, op8_packing, op9_line_dedup, op10_url_filter)
+_ALL = (op1_simhash_near_dedup, op2_quality_classifier, op3_language_id, op4_benchmark_decontamination, op5_rans_tokens, op6_license_scan, op7_embedding_near_dedup, op8_packing, op9_line_dedup, op10_url_filter, vector_near_copies)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {"op9_line_dedup": lines.ORACLE}
+ORACLES: dict[str, str] = {"op7_embedding_near_dedup": vectors.ORACLE, "op9_line_dedup": lines.ORACLE, "vector_near_copies": vectors.ORACLE_COPIES}
