@@ -7,9 +7,12 @@ the item with at most k edits, at least one piece stands there unchanged, so an
 for all pieces misses nothing; each place it finds is verified with Myers' bit-parallel distance over
 the window that could hold the item. The result is exact: the same as trying every substring.
 
-Defined results. Null and empty texts match nothing. Items that are null or normalise to fewer than
-``least`` bytes are skipped: they would match by chance. Repeated items keep their own item_id;
-repeated rows give a row each in ``distinct`` form, that is one per (doc_id, item_id), with the least distance.
+Items that normalise to fewer than ``least`` bytes are found only without an edit and as whole words, for with edits they
+would match by chance; so are shorter ones of SHORTEST_WORDS words or SHORTEST_BYTES bytes at least. What is
+shorter still says nothing about where it comes from: ``unmatched_items`` names those, nothing drops them in silence.
+
+Defined results. Null and empty texts match nothing, null items are none. A text of any length is searched whole, in one pass over its
+bytes, and takes memory in proportion. Repeated items keep their own item_id; repeated rows give a row each in ``distinct`` form, that is one per (doc_id, item_id), with the least distance.
 Rows with null doc_id never appear among the pairs and are judged like others by ``drop_contaminated``. An empty
 benchmark or table gives no pairs. Extra columns, also ones named like the results, are carried or ignored.
 
@@ -34,6 +37,7 @@ from lodestone.session import ship
 
 ERROR_RATE = 0.05
 LEAST = 40
+SHORTEST_WORDS, SHORTEST_BYTES = 4, 16
 PIECES_PER_PASS = 200_000
 _FOLD = np.full(256, 32, np.uint8)
 for _b in range(256):
@@ -98,19 +102,35 @@ def myers(pattern: bytes, text: bytes) -> int:
     return best
 
 
-def cut(item: bytes, error_rate: float = ERROR_RATE) -> list[tuple[int, bytes]]:
+def budget(item: bytes, error_rate: float = ERROR_RATE, least: int = LEAST) -> int:
+    """Edits that an item may take."""
+    return int(error_rate * len(item)) if len(item) >= least else 0
+
+
+def usable(item: bytes, least: int = LEAST) -> bool:
+    return len(item) >= min(least, SHORTEST_BYTES) or item.count(b" ") + 1 >= SHORTEST_WORDS
+
+
+def cut(item: bytes, error_rate: float = ERROR_RATE, least: int = LEAST) -> list[tuple[int, bytes]]:
     """(offset, piece): the budget plus one pieces of nearly equal length."""
-    k = int(error_rate * len(item))
+    k = budget(item, error_rate, least)
     edges = [len(item) * i // (k + 1) for i in range(k + 2)]
     return [(a, item[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
+def _whole(raw: bytes, a: int, z: int) -> bool:
+    """Whether raw[a:z] neither begins nor ends inside a word of ASCII letters and digits."""
+    inside = lambda x, y: raw[x] < 128 and raw[y] < 128 and A.WORD[raw[x]] and A.WORD[raw[y]]
+    return not (a > 0 and inside(a - 1, a)) and not (z < len(raw) and inside(z - 1, z))
+
+
 class Matcher:
-    def __init__(self, items: list[tuple[int, bytes]], error_rate: float = ERROR_RATE):
-        self.items, self.rate = items, error_rate
+    def __init__(self, items: list[tuple[int, bytes]], error_rate: float = ERROR_RATE, least: int = LEAST):
+        self.items, self.least = items, least
+        self.budgets = [budget(item, error_rate, least) for _, item in items]
         where: dict[str, list[tuple[int, int]]] = {}
         for number, (_, item) in enumerate(items):
-            for at, piece in cut(item, error_rate):
+            for at, piece in cut(item, error_rate, least):
                 where.setdefault(piece.decode("latin-1"), []).append((number, at))
         self.automaton = ahocorasick.Automaton()
         for piece, places in where.items():
@@ -135,8 +155,12 @@ class Matcher:
                     wanted.setdefault((r, number), []).append(at - inside)
             for (r, number), starts in wanted.items():
                 item = self.items[number][1]
-                k = int(self.rate * len(item))
+                k = self.budgets[number]
                 begin, end = int(off[r]), int(off[r + 1]) - 1
+                if len(item) < self.least:
+                    if any(_whole(raw, at, at + len(item)) for at in starts):
+                        out.append((i + r, number, 0))
+                    continue
                 best, seen = k + 1, -1
                 starts = sorted(set(starts))
                 a = 0
@@ -171,9 +195,9 @@ def passes(benchmark: DataFrame, error_rate: float = ERROR_RATE, least: int = LE
     for item_id, text in benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
         whole = normalise_text(text)
         for item in dict.fromkeys([whole, *(parts(text, least) if by_line else [])]):
-            if len(item) < least:
+            if not usable(item, least):
                 continue
-            n = int(error_rate * len(item)) + 1
+            n = budget(item, error_rate, least) + 1
             if count + n > pieces_per_pass and groups[-1]:
                 groups.append([])
                 count = 0
@@ -182,13 +206,19 @@ def passes(benchmark: DataFrame, error_rate: float = ERROR_RATE, least: int = LE
     return groups
 
 
+def unmatched_items(benchmark: DataFrame, least: int = LEAST) -> DataFrame:
+    """(item_id, text) of the items that are too short to be looked for."""
+    short = F.udf(lambda t: not usable(normalise_text(t), least), "boolean")
+    return benchmark.where("item_id is not null and text is not null").select("item_id", "text").where(short("text"))
+
+
 _built: dict[int, Matcher] = {}
 
 
-def _matcher(shared, error_rate: float) -> Matcher:
+def _matcher(shared, error_rate: float, least: int) -> Matcher:
     if shared.id not in _built:
         _built.clear()
-        _built[shared.id] = Matcher(shared.value, error_rate)
+        _built[shared.id] = Matcher(shared.value, error_rate, least)
     return _built[shared.id]
 
 
@@ -214,7 +244,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RAT
         shared = _Shared(spark.sparkContext.broadcast(group))
 
         def run(batches, shared=shared):
-            m = _matcher(shared, error_rate)
+            m = _matcher(shared, error_rate, least)
             for batch in batches:
                 ids = batch.column("doc_id").to_numpy()
                 got = m.rows(batch.column("text"))
@@ -235,7 +265,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float =
         shared = _Shared(spark.sparkContext.broadcast(group))
 
         def run(batches, shared=shared):
-            m = _matcher(shared, error_rate)
+            m = _matcher(shared, error_rate, least)
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 clean[[r for r, _, _ in m.rows(batch.column("text"))]] = False

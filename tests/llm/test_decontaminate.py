@@ -104,3 +104,13 @@ def test_repeated_hits_inside_one_text():
     m = D.Matcher([(1, item.strip())])
     assert m.rows(pa.array(["abcdefghij " * 300]))[0][2] == 0
     assert pytest.approx(0) == D.myers(item.strip(), b"abcdefghij " * 300)
+
+
+def test_short_items_are_found_exactly_as_whole_words(spark):
+    items = [(1, "What is the capital of France? Paris"), (2, "is it so or not"), (3, "yes"), (4, "中文的句子在这里"), (5, "ok")]
+    texts = ["Q: what is the capital of france -- PARIS!", "what is the capital of france parish", "he said: Is it so, or not?", "this it so or not", "yes ok", "前面有中文的句子在这里后面", "what is the capitol of france paris"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, D.matches(docs, bench).collect())) == [(0, 1, 0), (2, 2, 0), (5, 4, 0)]
+    assert sorted(r.item_id for r in D.unmatched_items(bench).collect()) == [3, 5]
+    assert [r.doc_id for r in D.drop_contaminated(docs, bench).orderBy("doc_id").collect()] == [1, 3, 4, 6]
