@@ -1,13 +1,15 @@
 """Language identification by segmentation-marginalised unigrams.
 
 A fixed public vocabulary gives the pieces; each language gives every piece a probability. A text is cut at
-ASCII white space into units, each with a leading space, and long ones every UNIT bytes; a unit's probability in a
-language is the sum over all its segmentations into pieces of the product of their probabilities
-(forward algorithm), a text's the product over its units. Single bytes are pieces, so nothing scores zero.
-Piece probabilities are fitted by expectation-maximisation (forward-backward) on at most
-``docs_per_language`` labelled texts a language, those with the least hash of doc_id.
+ASCII white space into units, each with a leading space; a unit's probability in a language is the sum over all its
+segmentations into pieces of the product of their probabilities (forward algorithm), a text's the product
+over its units. Single bytes are pieces, so nothing scores zero. Units of up to UNIT bytes are summed in scaled numbers, longer
+ones, of any length, in logarithms over a window of the longest piece. Piece probabilities are fitted by expectation-maximisation
+(forward-backward) on the units of up to UNIT bytes of at most ``docs_per_language`` labelled texts a language, those with
+the least hash of doc_id.
 
-Each distinct unit is scored once per worker and remembered; the whole text counts, however long.
+Each distinct unit is scored once per worker and remembered; the whole text counts, however long: time and memory grow
+with its length.
 
 Defined results. Null, empty and all-white texts get no language (null) and a margin of 0. A tie goes to the
 language that sorts first. Rows with null or repeated doc_id are scored like any other; extra columns
@@ -56,7 +58,7 @@ class Vocabulary:
 
     @staticmethod
     def of(parts: list[bytes]) -> Vocabulary:
-        number = {p: i for i, p in enumerate(parts) if len(p) <= UNIT}
+        number = {p: i for i, p in enumerate(parts)}
         tables = {}
         for k in range(1, max(map(len, number), default=0) + 1):
             heads = sorted({p[:k] for p in number if len(p) >= k})
@@ -84,8 +86,8 @@ class Vocabulary:
             hit = piece >= 0
             s = at[hit]
             u = unit[s]
-            out.append((u, (s - off[u] + k).astype(np.int16), np.full(len(s), k, np.int16), piece[hit].astype(np.int32)))
-        u, e, k, p = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int16),) * 4
+            out.append((u, (s - off[u] + k).astype(np.int32), np.full(len(s), k, np.int16), piece[hit].astype(np.int32)))
+        u, e, k, p = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int32),) * 4
         order = np.argsort(e, kind="stable")  # lengths ascend already
         return u[order], e[order], k[order], p[order]
 
@@ -111,14 +113,52 @@ def forward(m: tuple, n: int, prob: np.ndarray) -> np.ndarray:
 
 def unit_scores(flat: np.ndarray, off: np.ndarray, vocabulary: Vocabulary, prob: np.ndarray) -> np.ndarray:
     """log P(unit | language) of each unit."""
-    n = len(off) - 1
+    sizes = np.diff(off)
+    out = np.zeros((len(sizes), prob.shape[1]))
+    short = np.flatnonzero(sizes <= UNIT)
+    for i in range(0, len(short), CHUNK):
+        some = short[i : i + CHUNK]
+        size = sizes[some]
+        alpha = forward(vocabulary.matches(*_picked(flat, off, some)), len(some), prob)
+        out[some] = np.log(alpha[size, np.arange(len(some))]) - size[:, None] * np.log(256.0)
+    long = np.flatnonzero(sizes > UNIT)
+    long = long[np.argsort(sizes[long], kind="stable")]
+    while len(long):  # units of like lengths together, about 2**16 bytes at a time
+        count = max(1, int(np.searchsorted(np.cumsum(sizes[long]), 1 << 16)))
+        out[long[:count]] = log_forward(*_picked(flat, off, long[:count]), vocabulary, prob)
+        long = long[count:]
+    return out
+
+
+def _picked(flat: np.ndarray, off: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    size = off[some + 1] - off[some]
+    return flat[A.ragged(off[some], size)], np.concatenate([[0], np.cumsum(size)])
+
+
+def log_forward(flat: np.ndarray, off: np.ndarray, vocabulary: Vocabulary, prob: np.ndarray) -> np.ndarray:
+    """The forward algorithm in logarithms, keeping only the sums that a piece can still reach."""
+    n, window = len(off) - 1, max(vocabulary.tables, default=0) + 1
+    u, e, k, p = vocabulary.matches(flat, off)
+    size = np.diff(off)
+    alpha = np.full((window, n, prob.shape[1]), -np.inf)
+    alpha[0] = 0
     out = np.zeros((n, prob.shape[1]))
-    for i in range(0, n, CHUNK):
-        j = min(n, i + CHUNK)
-        o = off[i : j + 1]
-        alpha = forward(vocabulary.matches(flat[o[0] : o[-1]], o - o[0]), j - i, prob)
-        size = np.diff(o)
-        out[i:j] = np.log(alpha[size, np.arange(j - i)]) - size[:, None] * np.log(256.0)
+    weight = np.log(prob)
+    last = 0
+    ends = np.argsort(size, kind="stable")
+    ended = 0
+    for a, b in _groups(e, k):
+        end = int(e[a])
+        if end != last:
+            alpha[end % window] = -np.inf
+            last = end
+        now = alpha[end % window]
+        at = u[a:b]
+        now[at] = np.logaddexp(now[at], alpha[(end - int(k[a])) % window][at] + weight[p[a:b]])
+        if b == len(e) or e[b] != end:
+            while ended < n and size[ends[ended]] == end:
+                out[ends[ended]] = now[ends[ended]]
+                ended += 1
     return out
 
 
@@ -143,38 +183,22 @@ def expect(flat: np.ndarray, off: np.ndarray, count: np.ndarray, vocabulary: Voc
 
 
 def units(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end) of the units' bytes, and the bytes; the leading space isn't in them but where ``cut`` is false."""
+    """(row, start, end) of the units' bytes without the leading space, and the bytes."""
     data, off = A.buffers(col)
-    row, s, e = A.spans(data, off, A.GRAPH)
-    parts = -(-(e - s + 1) // UNIT)
-    which = np.repeat(np.arange(len(s)), parts)
-    k = A.ragged(np.zeros(len(s), np.int64), parts)
-    start = np.where(k == 0, s[which], s[which] - 1 + k * UNIT)
-    end = np.minimum(s[which] - 1 + (k + 1) * UNIT, e[which])
-    return row[which], start, end, data
-
-
-def _spell(data: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Flat bytes of the units, with the leading space of those that begin a token."""
-    size = e - s + first
-    off = np.concatenate([[0], np.cumsum(size)])
-    flat = np.full(off[-1], 32, np.uint8)
-    inner = A.ragged(off[:-1] + first, e - s)
-    flat[inner] = data[A.ragged(s, e - s)]
-    return flat, off
+    return *A.spans(data, off, A.GRAPH), data
 
 
-def _begins(row: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    b = np.ones(len(s), bool)
-    b[1:] = (s[1:] != e[:-1]) | (row[1:] != row[:-1])
-    return b
+def _spell(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flat bytes of the units, each with its leading space."""
+    off = np.concatenate([[0], np.cumsum(e - s + 1)])
+    flat = np.full(off[-1], 32, np.uint8)
+    flat[A.ragged(off[:-1] + 1, e - s)] = data[A.ragged(s, e - s)]
+    return flat, off
 
 
 def _keyed(col: pa.Array) -> tuple:
     row, s, e, data = units(col)
-    first = _begins(row, s, e)
-    h = A.mix(A.hashes(data, s, e) ^ np.where(first, np.uint64(0x5851F42D4C957F2D), np.uint64(0)), 21) if len(s) else np.zeros(0, np.uint64)
-    return row, s, e, data, first, h
+    return row, s, e, data, A.mix(A.hashes(data, s, e), 21) if len(s) else np.zeros(0, np.uint64)
 
 
 def fit(texts: list[pa.Array], parts: list[bytes], rounds: int = 4, smoothing: float = 0.05) -> np.ndarray:
@@ -182,11 +206,13 @@ def fit(texts: list[pa.Array], parts: list[bytes], rounds: int = 4, smoothing: f
     vocabulary = Vocabulary.of(parts)
     prob = np.full((vocabulary.size, len(texts)), 1 / vocabulary.size)
     for k, col in enumerate(texts):
-        row, s, e, data, first, h = _keyed(col)
+        row, s, e, data, h = _keyed(col)
+        short = e - s < UNIT
+        s, e, h = s[short], e[short], h[short]
         if not len(s):
             continue
         _, at, inverse = A.unique_first(h)
-        flat, off = _spell(data, s[at], e[at], first[at].astype(np.int64))
+        flat, off = _spell(data, s[at], e[at])
         count = np.bincount(inverse).astype(float)
         for _ in range(rounds):
             got = expect(flat, off, count, vocabulary, prob[:, k]) + smoothing
@@ -207,7 +233,7 @@ def log_likelihoods(col: pa.Array, vocabulary: Vocabulary, prob: np.ndarray, mem
         _memo[memo_key] = (A.Memo(), [np.zeros((0, prob.shape[1]))])
     memo, values = _memo[memo_key]
     for i, j in A.row_blocks(col, 1 << 22):
-        row, s, e, data, first, h = _keyed(col.slice(i, j - i))
+        row, s, e, data, h = _keyed(col.slice(i, j - i))
         if not len(s):
             continue
         keys, at, inverse = A.unique_first(h)
@@ -217,7 +243,7 @@ def log_likelihoods(col: pa.Array, vocabulary: Vocabulary, prob: np.ndarray, mem
         slot, known = memo.find(keys)
         if not known.all():
             new = at[~known]
-            flat, off = _spell(data, s[new], e[new], first[new].astype(np.int64))
+            flat, off = _spell(data, s[new], e[new])
             values[0] = np.concatenate([values[0], unit_scores(flat, off, vocabulary, prob)])
             memo.add(keys[~known])
             slot, _ = memo.find(keys)

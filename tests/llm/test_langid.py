@@ -39,10 +39,40 @@ def test_expectation_counts_bytes():
     assert got @ np.array([len(p) for p in PARTS]) == pytest.approx(12)
 
 
-def test_long_units_lose_no_byte():
-    col = pa.array(["x" * 1000 + " y", "z" * langid.UNIT])
-    row, s, e, _ = langid.units(col)
-    assert np.bincount(row, e - s).tolist() == [1001, langid.UNIT]
+def by_position(unit, prob):
+    """The same sum for long units: over the end of each piece, in logarithms."""
+    a = [0.0] + [-np.inf] * len(unit)
+    for end in range(1, len(unit) + 1):
+        for i, p in enumerate(PARTS):
+            if unit[:end].endswith(p):
+                a[end] = np.logaddexp(a[end], a[end - len(p)] + np.log(prob[i]))
+    return a[-1]
+
+
+def test_units_of_any_length_are_summed_whole():
+    rng = np.random.default_rng(1)
+    prob = rng.random((len(PARTS), 2)) ** 4
+    prob /= prob.sum(0)
+    v = langid.Vocabulary.of(PARTS)
+    words = ["".join(rng.choice(list("abcé"), n)) for n in (2, langid.UNIT - 1, langid.UNIT, langid.UNIT + 1, 49, 50, 90, 700, 3000, 90)]
+    total, _ = langid.log_likelihoods(pa.array(words), v, prob, 777)
+    for k, w in enumerate(words):
+        for lang in range(2):
+            assert total[k, lang] == pytest.approx(by_position(b" " + w.encode(), prob[:, lang]), rel=1e-9)
+
+
+def test_pieces_longer_than_a_short_unit_count():
+    parts = sorted({bytes([b]) for b in range(256)} | {b" " + b"=" * 80})
+    prob = np.full(len(parts), 1 / len(parts))
+    total, _ = langid.log_likelihoods(pa.array(["=" * 80]), langid.Vocabulary.of(parts), prob[:, None], 778)
+    assert total[0, 0] == pytest.approx(np.log(1 / len(parts)), abs=1e-6)
+
+
+def test_a_very_long_unit_ends():
+    v = langid.Vocabulary.of(PARTS)
+    prob = np.full((len(PARTS), 1), 1 / len(PARTS))
+    total, _ = langid.log_likelihoods(pa.array(["abc" * 30_000]), v, prob, 779)
+    assert np.isfinite(total).all()
 
 
 def test_held_out_accuracy(spark):
