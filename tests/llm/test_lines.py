@@ -1,3 +1,5 @@
+import time
+
 import compare
 import numpy as np
 
@@ -50,3 +52,34 @@ def test_edges(spark, edge_docs, no_docs):
     assert [i for i, _ in rows] == [-9, -1, -1, 1, 3, 4, 5, 6, 7, 8, 9223372036854775807]
     assert lines.dedup_lines(no_docs).count() == 0
     assert spark.sql("SHOW TABLES").where("tableName like 'lodestone_run%'").count() == 0
+
+
+def test_many_lines_take_time_in_proportion(spark):
+    n = 200_000
+    text = "\n".join(f"row {i % (n // 2)}" for i in range(n))
+    docs = spark.createDataFrame([(1, text), (2, "row 5\nnew\n\nrow 7"), (-(1 << 63), "row 5\nthe least id"), (None, "row 5\nthe least id")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs, 2).collect()}
+    assert time.time() - began < 60
+    assert got == {None: "row 5\nthe least id", 1: "\n".join(f"row {i}" for i in range(n // 2) if i != 5), 2: "new\n"}
+
+
+def test_store_is_reopened_by_a_later_job(spark, tmp_path):
+    def batch(rows):
+        return lines.explode_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+
+    path = f"file://{tmp_path}/store"
+    store, seen = lines.LineStore(spark, 2, 3, path), set()
+    rng = np.random.default_rng(7)
+    for job in range(6):
+        text = [f"line {x}" for x in rng.integers(0, 60, 25)]
+        new = store.add(batch([(job, "\n".join(text))]))
+        assert new.count() == len(set(text) - seen)
+        seen |= set(text)
+        store.detach()
+        store = lines.LineStore.open(spark, path, 2)
+        assert sum(r.count() for r in store.runs()) == len(seen) and store.buckets == 3
+    assert len(store.levels) > 1
+    plan = store.runs()[0].join(store.runs()[-1].hint("merge"), ["h1", "h2"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    store.close()
