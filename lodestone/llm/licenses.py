@@ -1,17 +1,20 @@
 """License scans: Aho-Corasick for identifier tags and notice phrases, shunting-yard for their expressions.
 
-A scan of the whole text finds "SPDX-License-Identifier:" tags and the notice phrases of PHRASES (ASCII case
-folded, runs of white space as one space, commas ignored). A tag's expression is the rest of its line, up to
-a comment end; the parser applies WITH, then AND, then OR, honours parentheses and a trailing "+", and
-evaluates whether the expression can be satisfied with permissive licences alone: OR needs one side, AND both,
-WITH its licence. Each notice phrase is a licence by itself. A document's verdict: "permissive" if all
-its findings are, "restricted" if any isn't, "none" without findings.
+A scan of the whole text finds "SPDX-License-Identifier:" tags and the notices of license_data (ASCII case folded, runs of
+white space as one space, commas ignored), whole words at both ends; of notices that begin at one place the longest counts.
+Where a notice's licence has versions, one that follows ("version 2", "v2.0", also behind "as published by the Free Software
+Foundation; either") joins its name. A tag's expression is the rest of its line, up to a comment end or the next tag; the parser applies WITH, then
+AND, then OR, honours parentheses and a trailing "+", and evaluates whether the expression can be satisfied with permissive
+licences alone: OR needs one side, AND both, WITH its licence (a single name on both sides, as the SPDX grammar has it).
+Each notice is a licence by itself. A document's verdict: "permissive" if all its findings are, "restricted" if any isn't,
+"none" without findings.
 
 Defined results. A tag whose expression doesn't parse (empty, unbalanced, two names in a row) counts as the
 licence "INVALID", which is restricted; unknown names are restricted. Null and empty texts have no findings.
 Findings are distinct and sorted, so repeats and order don't matter. Every row gives one row, whatever its
 doc_id; extra columns are carried, ones named like the results replaced. "All rights reserved" is a finding
-and restricted.
+and restricted. An empty table gives no rows. A text of any length is read whole, in time that grows with it: neither many tags
+nor long lines are read twice.
 """
 
 from __future__ import annotations
@@ -25,35 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lodestone.llm import arrays as A
+from lodestone.llm.license_data import NOTICES, PERMISSIVE
 from lodestone.session import ship
 
 TAG = "spdx-license-identifier:"
-PHRASES = {
-    "released under the mit license": "MIT",
-    "licensed under the mit license": "MIT",
-    "permission is hereby granted free of charge to any person obtaining a copy": "MIT",
-    "licensed under the apache license version 2.0": "Apache-2.0",
-    "apache license version 2.0": "Apache-2.0",
-    "redistribution and use in source and binary forms": "BSD",
-    "licensed under the bsd": "BSD",
-    "permission to use copy modify and/or distribute this software for any purpose": "ISC",
-    "this is free and unencumbered software released into the public domain": "Unlicense",
-    "licensed under cc0": "CC0-1.0",
-    "licensed under cc by 4.0": "CC-BY-4.0",
-    "licensed under cc by-sa": "CC-BY-SA",
-    "licensed under cc by-nc": "CC-BY-NC",
-    "licensed under cc by-nd": "CC-BY-ND",
-    "creative commons attribution-noncommercial": "CC-BY-NC",
-    "gnu general public license version 2": "GPL-2.0",
-    "gnu general public license version 3": "GPL-3.0",
-    "gnu lesser general public license": "LGPL",
-    "gnu affero general public license": "AGPL",
-    "mozilla public license": "MPL-2.0",
-    "all rights reserved": "PROPRIETARY",
-}
-PERMISSIVE = {"MIT", "MIT-0", "Apache-2.0", "BSD", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-3.0", "Zlib", "BSL-1.0", "PostgreSQL", "Python-2.0"}
 _BY_FOLD = {x.lower(): x for x in PERMISSIVE}
 _BINDS = {"or": 1, "and": 2, "with": 3}
+_VERSION = re.compile(rb"(?: as published by the free software foundation)?[;:]? ?(?:either )?(?:version |ver\.? ?|v\.? ?)?([0-9]{1,2}(?:\.[0-9]{1,2})?)(?![0-9a-z])")
 _TOKEN = re.compile(r"[()]|[^\s()]+")
 
 
@@ -62,10 +43,11 @@ def parse(expression: str) -> list[str] | None:
     out: list[str] = []
     stack: list[str] = []
     operand = True  # what must come next
+    last = ""
     for t in _TOKEN.findall(expression):
         low = t.lower()
         if t == "(":
-            if not operand:
+            if not operand or last == "with":
                 return None
             stack.append(t)
         elif t == ")":
@@ -77,18 +59,18 @@ def parse(expression: str) -> list[str] | None:
                 return None
             stack.pop()
         elif low in _BINDS:
-            if operand:
+            if operand or (low == "with" and last == ")"):
                 return None
             while stack and stack[-1] != "(" and _BINDS[stack[-1]] >= _BINDS[low]:
                 out.append(stack.pop())
             stack.append(low)
-            operand = True
+            operand, last = True, low
             continue
         else:
             if not operand or not re.fullmatch(r"[A-Za-z0-9.\-:]+\+?", t):
                 return None
             out.append(t)
-        operand = t == "("
+        operand, last = t == "(", low
     if operand or "(" in stack:
         return None
     return out + stack[::-1]
@@ -121,9 +103,9 @@ def names(rpn: list[str]) -> list[str]:
 
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for phrase, name in PHRASES.items():
-        a.add_word(phrase, (len(phrase), name))
-    a.add_word(TAG, (len(TAG), ""))
+    for phrase, (name, versioned) in NOTICES.items():
+        a.add_word(phrase, (len(phrase), name, versioned))
+    a.add_word(TAG, (len(TAG), "", False))
     a.make_automaton()
     return a
 
@@ -162,16 +144,26 @@ def findings(col: pa.Array, automaton: ahocorasick.Automaton) -> list[list[tuple
         data, off = A.buffers(col.slice(i, j - i))
         raw, origin, new = fold(data, off)
         found: list[set] = [set() for _ in range(j - i)]
-        for end, (size, name) in automaton.iter(raw.decode("latin-1")):
-            r = int(np.searchsorted(new, end, "right")) - 1
+        ends = np.append(np.flatnonzero((data == 10) | (data == 13)), len(data))  # of lines
+        hits: dict[int, tuple[int, str, bool]] = {}
+        for end, (size, name, versioned) in automaton.iter(raw.decode("latin-1")):
             begin = end + 1 - size
-            if begin > new[r] and A.WORD[raw[begin - 1]]:
-                continue
+            whole = not (begin and A.WORD[raw[begin - 1]]) and not (name and A.WORD[raw[end + 1]])
+            if whole and hits.get(begin, (-1,))[0] < end:
+                hits[begin] = (end, name, versioned)
+        tags = np.sort(np.array([*(origin[k] for k, h in hits.items() if not h[1]), len(data)], np.int64))
+        for end, name, versioned in hits.values():
+            r = int(np.searchsorted(new, end, "right")) - 1
             if name:
+                v = _VERSION.match(raw, end + 1) if versioned else None
+                if v:
+                    name = f"{name}-{v[1].decode()}" + ("" if b"." in v[1] else ".0")
                 found[r].add((name, (name,), name in PERMISSIVE))
                 continue
-            text = bytes(data[int(origin[end]) + 1 : off[r + 1]]).split(b"\n", 1)[0].split(b"\r", 1)[0].decode("utf-8", "replace")
-            expression = re.split(r"\*/|-->|#\}", text)[0].strip()
+            at = int(origin[end]) + 1
+            line = min(int(ends[np.searchsorted(ends, at)]), int(off[r + 1]), int(tags[np.searchsorted(tags, at)]))
+            text = data[at:line].tobytes().decode("utf-8", "replace")
+            expression = re.split(r"\*/|-->|#\}", text, maxsplit=1)[0].strip()
             rpn = parse(expression)
             found[r].add((expression, tuple(sorted(set(names(rpn)))), evaluate(rpn)) if rpn else (expression, ("INVALID",), False))
         out += [sorted(f) for f in found]
