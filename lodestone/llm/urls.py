@@ -1,14 +1,15 @@
 """URL filter: logistic regression on hashed character n-grams of host and path.
 
 Features are the distinct 3-, 4- and 5-byte grams of "^host$" and of "/path$" (scheme, user, port, query and
-fragment dropped, ASCII case folded), host and path hashed apart, in 2**16 cells. The weights are fitted on a small
-labelled table of URLs (LABELLED: blocked or not) by full-batch gradient descent with momentum and L2; every
-page is scored, and blocked at p >= 0.5.
+fragment dropped, ASCII case folded), host and path hashed apart, in 2**16 cells, scaled to length 1. The weights are
+fitted on a small labelled table of URLs, a DataFrame (url, blocked) or the list LABELLED of url_labels, by full-batch
+gradient descent with momentum and L2; every page is scored, and blocked at p >= 0.5 (a tie is blocked). Of a labelled table at
+most MOST_LABELS rows are used, those with the least hash of the URL.
 
 Defined results. A null or empty URL, or one without a host, has no host grams and is scored by the bias and
 what path it has; the bias favours keeping. Every row gives one row, whatever its page_id; repeated rows
 repeat. Extra columns are carried, ones named like the results replaced. A labelled table with one class only
-gives that class for every URL.
+gives that class for every URL, an empty one keeps all. An empty table of pages gives no rows; a URL of any length is read whole.
 """
 
 from __future__ import annotations
@@ -21,17 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import arrays as A
+from lodestone.llm.url_labels import LABELLED
 from lodestone.session import ship
 
 CELLS = 16
-_BAD = "casino-win casinowin casino-royal online-casino best-casino lucky-casino free-bets freebets best-bets sport-bets bet-now betting poker-room slots-win jackpot cheap-pills cheappills pills-online buy-pills viagra pharma-cheap adult-x adult-cams adult-video xxx-adult sex-cams porn-tube spam-farm spamfarm link-spam spam-links content-farm ads-track adstrack ad-tracker track-ads ads-server adserver click-track tracker-ads popup-ads malware-drop phish-login free-money payday-loan warez-crack".split()
-_GOOD = "news blog wiki docs library museum school college research science garden kitchen travel weather sports music film book shop store market health clinic bank city town river mountain history art design code data cloud open-source forum community journal review guide recipes photo maps radio theatre betterhomes trackfield casing adulthood pillow spamalot farmhouse freedom winter cheapflights adsorption".split()
-_SUB = ["", "www.", "blog.", "m."]
-_TOP = ["example.com", "example.org", "example.net", "com", "org", "net"]
-_PATH = ["/", "/en/12345", "/de/881.html", "/articles/2024/report", "/fr/777/", "/index.html", "/es/40102?page=2&ref=x", "/p/10#top"]
-_BAD_PATH = ["/casino/play", "/bets/free", "/pills/buy", "/ads/track/1", "/xxx/video"]
-#: (url, blocked): the small labelled table.
-LABELLED = [(f"https://{_SUB[(i + k) % 4]}{name}.{_TOP[(2 * i + k) % 6]}{_PATH[(3 * i + k) % 8]}", y) for y, names in ((1, _BAD), (0, _GOOD)) for i, name in enumerate(names) for k in range(8)] + [(f"https://{_SUB[i % 4]}{name}.{_TOP[i % 6]}{path}", 1) for i, name in enumerate(_BAD) for path in _BAD_PATH[i % 5 : i % 5 + 1]] + [("", 0)] * 100
+MOST_LABELS = 100_000
 
 
 def host_and_path(url: pa.Array) -> tuple[pa.Array, pa.Array]:
@@ -58,8 +53,11 @@ def features(url: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (both >> np.uint64(CELLS)).astype(np.int64), (both & np.uint64((1 << CELLS) - 1)).astype(np.int64)
 
 
-def fit(labelled: list[tuple[str, int]] = LABELLED, steps: int = 300, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """(weights, bias)."""
+def fit(labelled: DataFrame | list[tuple[str, int]] = LABELLED, steps: int = 400, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """(weights, bias). Labels that are null, or neither 0 nor 1, don't count."""
+    if isinstance(labelled, DataFrame):
+        known = labelled.select(F.col("url").cast("string"), F.col("blocked").cast("int")).where("blocked in (0, 1)")
+        labelled = [tuple(r) for r in known.orderBy(F.xxhash64("url"), "url", "blocked").limit(MOST_LABELS).collect()]
     y = np.array([b for _, b in labelled], float)
     row, cell = features(pa.array([u for u, _ in labelled], pa.string()))
     scale = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(y)), 1))
