@@ -12,11 +12,10 @@ from lodestone.llm import simhash
 def slow_fingerprint(text):
     """By the definition: distinct words vote with their weights on 256 bits."""
     found = {bytes(w) for w in split(text)}
-    total = sum(simhash._WEIGHT[min(len(w), 15)] for w in found)
     votes = np.zeros(256)
     for w in found:
         h = np.array([A.poly_hash(w, True)], np.uint64)
-        weight = simhash._WEIGHT[min(len(w), 15)] if total else 1.0
+        weight = simhash._WEIGHT[min(len(w), 15)]
         for salt in range(4):
             bits = np.unpackbits(A.mix(h, salt + 1).view(np.uint8))
             votes[salt * 64 : salt * 64 + 64] += weight * (bits * 2.0 - 1)
@@ -85,3 +84,34 @@ def test_edges(spark, edge_docs, no_docs):
     assert [i for i, _ in ids] == [-9, -1, -1, -1, 1, 3, 4, 5, 6, 7, 8, 9223372036854775807]
     assert simhash.drop_near_duplicates(no_docs).count() == 0
     assert simhash.near_duplicates(no_docs).count() == 0
+
+
+def test_scripts_without_spaces_have_pairs_of_characters():
+    rng = np.random.default_rng(5)
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 800)]
+    a = "".join(rng.choice(signs, 200))
+    b = a[:80] + "\u4e00" + a[81:]
+    other = "".join(rng.choice(signs, 200))
+    row, _, size = simhash.features(pa.array(["ab \u4e2d\u6587\u3002\u5b57 x\u2019s", None, "\u4e2d"]))
+    assert sorted(zip(row.tolist(), size.tolist())) == [(0, 1), (0, 1), (0, 2), (0, 3), (0, 6), (2, 3)]
+    fp, some = simhash.fingerprint_array(pa.array([a, b, other]))
+    assert some.all()
+    far = lambda i, j: int(np.bitwise_count(fp[i] ^ fp[j]).sum())
+    assert far(0, 1) <= simhash.DISTANCE < far(0, 2)
+
+
+def test_short_words_tell_tables_apart():
+    rng = np.random.default_rng(6)
+    tables = [" ".join(["measure"] + [str(x) for x in rng.integers(0, 999, 120)]) for _ in range(2)]
+    fp, _ = simhash.fingerprint_array(pa.array(tables))
+    assert int(np.bitwise_count(fp[0] ^ fp[1]).sum()) > simhash.DISTANCE
+
+
+def test_nodes_climb_while_sparse_and_not_where_dense():
+    key = np.sort(np.concatenate([np.arange(300, dtype=np.uint64) << np.uint64(40), np.array([1 << 62, (1 << 62) + (1 << 59)], np.uint64)]))
+    fp = np.zeros((len(key), 4), np.uint64)
+    fp[:, 0] = np.arange(len(key))
+    fp[:, 1] = np.where(key >= 1 << 62, np.uint64(0), np.uint64(2**64 - 1))
+    _, root = simhash.leaf_stars(np.zeros(len(key), np.int64), key, fp, 2, 8, 16, 64)
+    assert root[-1] == root[-2]  # apart at depth 8, together after the climb
+    assert len(set(root[:300].tolist())) == 1
