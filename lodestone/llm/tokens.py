@@ -4,7 +4,8 @@ The published split pattern never joins what stands before a white-space gap wit
 falls into units that can be encoded by themselves: a run without white space together with one plain space before it,
 and what is left of the gap (all but its last character, which is a unit of its own unless it's that plain
 space; a gap at the end of a text is one unit). Every worker encodes a unit once and remembers it. Texts with
-white space outside ASCII are left to the tokenizer as they are. Null and empty texts have no tokens.
+white space outside ASCII (told by its exact bytes, so that quotes, dashes and other alphabets take the fast way) are left to the
+tokenizer as they are. Null and empty texts have no tokens.
 """
 
 from __future__ import annotations
@@ -24,16 +25,17 @@ class Encoder:
 
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.size = max(ranks.values()) + 1
+        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.memo = A.Memo()
-        self.ids, self.at = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+        self.ids, self.at = np.zeros(0, self.kind), np.zeros(1, np.int64)
 
     def _learn(self, keys: np.ndarray, units: list[str]) -> None:
         if self.memo.n > self.memo.most:
             self.memo.clear()
-            self.ids, self.at = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+            self.ids, self.at = np.zeros(0, self.kind), np.zeros(1, np.int64)
         got = [self.encoding.encode_ordinary(u) for u in units]
         size = np.fromiter(map(len, got), np.int64, len(got))
-        self.ids = np.concatenate([self.ids, np.fromiter((t for g in got for t in g), np.uint16, int(size.sum()))])
+        self.ids = np.concatenate([self.ids, np.fromiter((t for g in got for t in g), self.kind, int(size.sum()))])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
         self.memo.add(keys)
 
@@ -45,16 +47,14 @@ class Encoder:
             parts.append(ids)
             sizes.append(size)
         size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint16), np.concatenate([[0], np.cumsum(size)])
+        return np.concatenate(parts) if parts else np.zeros(0, self.kind), np.concatenate([[0], np.cumsum(size)])
 
     def _block(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, off = A.buffers(col)
         n = len(off) - 1
         if not len(data):
-            return np.zeros(0, np.uint16), np.zeros(n, np.int64)
-        odd = (data == 0xE1) | (data == 0xE2) | (data == 0xE3)
-        odd[:-1] |= (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
-        odd_rows = np.unique(np.searchsorted(off, np.flatnonzero(odd), "right") - 1)
+            return np.zeros(0, self.kind), np.zeros(n, np.int64)
+        odd_rows = np.unique(np.searchsorted(off, wide_spaces(data), "right") - 1)
         direct = np.zeros(n, bool)
         direct[odd_rows] = True
         row, s, e = units(data, off)
@@ -74,7 +74,7 @@ class Encoder:
         ids = self.ids[A.ragged(self.at[slot][inverse], size)]
         count = np.bincount(row, size, n).astype(np.int64)
         if direct.any():
-            own = {r: np.array(self.encoding.encode_ordinary(col[r].as_py()), np.uint16) for r in odd_rows.tolist()}
+            own = {r: np.array(self.encoding.encode_ordinary(col[r].as_py()), self.kind) for r in odd_rows.tolist()}
             start = np.concatenate([[0], np.cumsum(count)])
             pieces, last = [], 0
             for r in odd_rows.tolist():
@@ -85,6 +85,18 @@ class Encoder:
         return ids, count
 
 
+def wide_spaces(data: np.ndarray) -> np.ndarray:
+    """Where the UTF-8 forms of white space outside ASCII begin: U+0085, 00A0, 1680, 2000-200A, 2028, 2029, 202F, 205F, 3000."""
+    at = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    if not len(at):
+        return at
+    pad = np.append(data, np.zeros(2, np.uint8))
+    a, b, c = data[at], pad[at + 1], pad[at + 2]
+    two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    general = (a == 0xE2) & (((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((b == 0x81) & (c == 0x9F)))
+    return at[two | general | ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))]
+
+
 def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end), ascending, of the units that cover every byte."""
     row, s, e = A.spans(data, off, A.GRAPH)

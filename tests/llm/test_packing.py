@@ -3,6 +3,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 
+from lodestone.llm import arrays as A
 from lodestone.llm import packing, tokens
 from lodestone.llm.vocab import PATTERN, byte_ranks
 
@@ -23,6 +24,20 @@ def test_tokens_are_the_tokenizers(reference):
         assert ids[off[k] : off[k + 1]].tolist() == reference.encode_ordinary(t or "")
 
 
+def test_quotes_and_dashes_take_the_fast_way(reference):
+    """Only white space outside ASCII goes to the tokenizer whole, wherever it stands."""
+    spaces = [chr(c) for c in range(0x80, 0x3100) if chr(c).isspace()]
+    rng = np.random.default_rng(1)
+    signs = ["\u2019", "\u2014", "\u2022", "\u201c", "\u4e2d", "\u3042", "\u1e9e", "\u00e9", " ", "a", "b ", "\n"]
+    texts = ["".join(rng.choice(signs, 30)) for _ in range(200)] + [f"a{s}{s} b {s}" for s in spaces] + ["".join(rng.choice(signs + spaces, 30)) for _ in range(200)]
+    data, off = A.buffers(pa.array(texts))
+    found = set((np.searchsorted(off, tokens.wide_spaces(data), "right") - 1).tolist())
+    assert found == {k for k, t in enumerate(texts) if set(t) & set(spaces)}
+    ids, at = tokens.encoder(tokens.RANKS).encode(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == reference.encode_ordinary(t)
+
+
 def test_decompose():
     count, length = packing.decompose(np.array([0, 1, 13, 8192 * 2 + 5]), 8192)
     assert count.tolist() == [0, 1, 3, 4]
