@@ -13,7 +13,8 @@ documents in it in order, the payload (word stream), checkpoints (LANES uint64 s
 checksums. A document longer than a block is split over blocks of its own; ``part`` numbers them.
 
 Defined results. Null, empty and token-less texts take part with length 0, so a decoder gives back every row;
-null doc_ids stay null, repeated rows are repeated. An empty table gives the table row alone (all
+null doc_ids stay null, repeated rows are repeated. Texts of any length are split as above. Ids are stored in 16 bits: a vocabulary
+of more than 65,536 is refused. An empty table gives the table row alone (all
 frequencies alike). Columns other than doc_id and text aren't read.
 """
 
@@ -186,11 +187,19 @@ def blocks_of(length: np.ndarray, block: int = BLOCK) -> list[tuple[int, int, in
     return out
 
 
+def vocabulary_size(path: str) -> int:
+    size = max(byte_ranks(path).values()) + 1
+    if size > 1 << 16:
+        raise ValueError("ids are stored in 16 bits")
+    return size
+
+
 def encode(docs: DataFrame, path: str = RANKS) -> DataFrame:
     """The table row and the block rows of every document."""
     spark = docs.sparkSession
+    vocabulary_size(path)
     tokens = persist_table(tokenise(docs, path), "token-ids")
-    size = max(byte_ranks(path).values()) + 1
+    size = vocabulary_size(path)
     freq = quantise(count_ids(tokens, size))
     head = spark.createDataFrame([("table", [], [], 0, 0, bytearray(freq.astype("<u4").tobytes()), bytearray(), [], zlib.crc32(freq.astype("<u4").tobytes()))], SCHEMA)
     shared = spark.sparkContext.broadcast(freq)  # as large as the fixed vocabulary
@@ -218,3 +227,26 @@ def encode(docs: DataFrame, path: str = RANKS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(["block"] * len(plan)), pa.array(doc_ids, pa.list_(pa.int64())), *(pa.array(rows[c], k) for c, k in kinds.items())], names=["kind", "doc_ids", *kinds])
 
     return head.union(tokens.mapInArrow(run, SCHEMA))
+
+
+def decode_documents(encoded: DataFrame) -> DataFrame:
+    """(doc_id, part, tokens) of every document, from the rows that ``encode`` gave; every block is decoded by itself.
+
+    A document within a block has one row (part 0), a longer one a row for each block of its own. Damage raises ValueError."""
+    spark = encoded.sparkSession
+    ship(spark)
+    head = encoded.where("kind = 'table'").select("payload", "crc").first()  # one row, as large as the vocabulary
+    if zlib.crc32(head.payload) != head.crc:
+        raise ValueError("checksum of the table doesn't match")
+    shared = spark.sparkContext.broadcast(np.frombuffer(head.payload, "<u4"))
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                if zlib.crc32(row["payload"]) != row["crc"]:
+                    raise ValueError("checksum of a payload doesn't match")
+                ids = decode(row["payload"], row["checkpoints"], row["checksums"], row["n_tokens"], shared.value)
+                edges = np.concatenate([[0], np.cumsum(row["lengths"])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array([row["part"]] * len(row["doc_ids"]), pa.int32()), pa.ListArray.from_arrays(pa.array(edges), pa.array(ids.astype(np.int32)))], names=["doc_id", "part", "tokens"])
+
+    return encoded.where("kind = 'block'").mapInArrow(run, "doc_id long, part int, tokens array<int>")

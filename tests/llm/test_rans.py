@@ -67,3 +67,23 @@ def test_documents_come_back(edge_docs, no_docs):
     assert sorted(got, key=order) == sorted(want, key=order)
     assert max(len(x) for _, x in want) > rans.BLOCK
     assert [r.kind for r in rans.encode(no_docs).collect()] == ["table"]
+
+
+def test_documents_come_back_through_a_dataframe(spark, edge_docs, no_docs, monkeypatch):
+    from lodestone.llm import tokens
+
+    enc = tokens.encoder(tokens.RANKS).encoding
+    got = {}
+    for r in rans.decode_documents(rans.encode(edge_docs)).collect():
+        got.setdefault((r.doc_id is None, r.doc_id or 0), []).append((r.part, r.tokens))
+    want = {}
+    for r in edge_docs.select("doc_id", "text").collect():
+        want.setdefault((r.doc_id is None, r.doc_id or 0), []).append(enc.encode_ordinary(r.text or ""))
+    for key, parts in got.items():
+        rows = [t for _, t in parts] if all(p == 0 for p, _ in parts) and len(parts) == len(want[key]) else [[x for _, t in sorted(parts) for x in t]]
+        assert sorted(rows) == sorted(want[key])
+    assert got.keys() == want.keys()
+    assert rans.decode_documents(rans.encode(no_docs)).count() == 0
+    monkeypatch.setattr(rans, "byte_ranks", lambda _: {b"a": 1 << 16})
+    with pytest.raises(ValueError):
+        rans.encode(no_docs)
