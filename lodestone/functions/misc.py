@@ -106,3 +106,10 @@ def best_run_array(values: Column) -> Column:
         return F.struct(F.greatest(acc["best"], here).alias("best"), here.alias("here"))
 
     return F.aggregate(values, zero, step, lambda acc: acc["best"])
+
+
+def harness_summary(results: DataFrame, seconds: float) -> DataFrame:
+    """(multiplier, urls, per_second, place, best, average_per_second) of a throughput harness (multiplier, urls): place 1 is the best; ties by multiplier."""
+    every = Window.partitionBy(F.lit(0))  # one row a setting, some hundreds at most
+    place = F.row_number().over(every.orderBy(F.desc("urls"), "multiplier"))
+    return results.select("multiplier", "urls", (F.col("urls") / seconds).alias("per_second"), place.cast("long").alias("place"), (place == 1).alias("best"), (F.avg("urls").over(every) / seconds).alias("average_per_second"))

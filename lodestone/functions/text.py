@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +15,11 @@ _LATIN = r"[A-Za-z\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{024F}]"
 WHITE = r"[ \t\n\x0B\f\r]+"
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c evaluated once: Catalyst has no other binding inside a Column, and repeating a long expression in its users multiplies plans."""
+    return F.transform(F.array(c), f)[0]
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z folded, nothing else."""
     return F.translate(c, UPPER, LOWER)
@@ -29,10 +37,13 @@ def normal_word(c: Column) -> Column:
 
 def word_forms(c: Column) -> Column:
     """Array of the forms that a raw word is indexed under (before stemming): itself and, at its first hyphen, its two parts; none of null."""
-    w = normal_word(c)
-    at = F.instr(w, "-")
-    split = F.array(w, F.substring(w, F.lit(1), at - 1), F.substring(w, at + 1, F.length(w)))
-    return F.when(w.isNull() | (w == ""), F.array().cast("array<string>")).when((at > 1) & (at < F.length(w)), split).otherwise(F.array(w))
+
+    def forms(w: Column) -> Column:
+        at = F.instr(w, "-")
+        split = F.array(w, F.substring(w, F.lit(1), at - 1), F.substring(w, at + 1, F.length(w)))
+        return F.when(w.isNull() | (w == ""), F.array().cast("array<string>")).when((at > 1) & (at < F.length(w)), split).otherwise(F.array(w))
+
+    return let(normal_word(c), forms)
 
 
 def words(c: Column) -> Column:
@@ -81,13 +92,10 @@ def is_english(html_lang: Column, body: Column, title: Column, threshold: float
     )
 
 
-def json_result(c: Column) -> Column:
-    return F.to_json(c)
-
-
 def decode_query(c: Column) -> Column:
-    """A query-string value: + is a space, %xx a byte."""
-    return F.url_decode(c)
+    """A query-string value: + is a space, %xx a byte; a % without two hex digits stands for itself, broken UTF-8 becomes U+FFFD."""
+    whole = F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.url_decode(whole)
 
 
 def utf16(c: Column) -> Column:
@@ -99,6 +107,33 @@ def from_utf16(b: Column) -> Column:
     return F.decode(b, "UTF-16")
 
 
+def transcode(data: bytes | None) -> str | None:
+    """Text of bytes in UTF-8 or UTF-16: a byte order mark decides, else zero bytes in every second place; malformed parts become U+FFFD."""
+    if data is None:
+        return None
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
+        if data.startswith(mark):
+            return data[len(mark) :].decode(name, "replace")
+    head = data[:64]
+    if len(head) >= 4 and len(data) % 2 == 0:
+        even, odd = head[0::2].count(0), head[1::2].count(0)
+        if odd > len(head) // 4 and not even:
+            return data.decode("utf-16-le", "replace")
+        if even > len(head) // 4 and not odd:
+            return data.decode("utf-16-be", "replace")
+    return data.decode("utf-8", "replace")
+
+
+def transcode_udf():
+    """``transcode`` in Arrow batches: Spark's decode refuses malformed bytes instead of repairing them."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(transcode, na_action="ignore")
+
+    return run
+
+
 def md5_halves(c: Column) -> tuple[Column, Column]:
     """The two 64-bit halves of the MD5, as signed longs."""
     h = F.md5(c)

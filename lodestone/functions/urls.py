@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import ascii_lower
+from lodestone.functions.text import ascii_lower, let
 
 TLDS = ["com", "org", "gov", "edu", "ca", "co.uk", "com.au", "uk", "au", "net", "mil", "int"]
 REJECTED = "pdf doc docx xls xlsx zip exe jpg jpeg png gif bmp svg webp mp4 webm avi mov mkv flv mp3 wav aac flac m4a tar gz rar 7z".split()
@@ -18,11 +16,6 @@ def _trim(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?s)^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+\z", ""), r"/+\z", "")
 
 
-def let(c: Column, f: Callable[[Column], Column]) -> Column:
-    """f(c) with c evaluated once: Catalyst has no other binding inside a Column, and repeating a long expression in its users multiplies plans."""
-    return F.transform(F.array(c), f)[0]
-
-
 def normalize(c: Column) -> Column:
     """Canonical http(s) URL: scheme and host folded, fragment and the path's trailing slashes dropped; empty if it isn't one."""
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from itertools import count
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestone.functions import urls as U
+from lodestone.functions.misc import fold_hash_udf
 from lodestone.functions.text import ascii_lower
 from lodestone.session import persist_table
 
@@ -40,6 +47,16 @@ def owner(url: Column, machines: int) -> Column:
     return (F.conv(F.substring(F.md5(url), 1, 8), 16, 10).cast("long") % machines).cast("long")
 
 
+def owner_by_parity(url: Column, machines: int) -> Column:
+    """The same by the crawler's own hash, h = 37 h + byte modulo 2**64."""
+    return F.pmod(fold_hash_udf()(url).cast("decimal(20,0)"), F.lit(machines)).cast("long")
+
+
+def route(items: DataFrame, machines: int, url_col: str = "url") -> DataFrame:
+    """Items with their owner, each owner's in one partition."""
+    return items.withColumn("owner", owner(F.col(url_col), machines)).repartition(machines, "owner")
+
+
 def frontier(items: DataFrame) -> DataFrame:
     """(url, seed_distance, failed, ...) with its parsed host, suffix, base length, depth and score."""
     h, p = U.frontier_host_path(F.col("url"))
@@ -48,25 +65,31 @@ def frontier(items: DataFrame) -> DataFrame:
 
 
 def promote(items: DataFrame, share: float = 0.25, chunk: str | None = None) -> DataFrame:
-    """The best share of a sweep by score (ties by url), within each chunk.
-
-    Ranks come per chunk; a sweep over everything is given as chunks so that no single task sorts it all."""
-    keys = [chunk] if chunk else []
-    by = Window.partitionBy(*keys).orderBy(F.desc("score"), "url")
-    counted = items.withColumns({"_r": F.row_number().over(by), "_n": F.count("*").over(Window.partitionBy(*keys))})
+    """The best share of a sweep by score (ties by url), within each chunk, or of everything.
+
+    Without chunks rows are range-partitioned and numbered part by part, so that no task sorts them all."""
+    if chunk is None:
+        ranked = global_rank(items, [F.desc("score"), F.col("url")])
+        return ranked.where(F.col("rank") <= math.ceil(items.count() * share)).drop("rank")
+    by = Window.partitionBy(chunk).orderBy(F.desc("score"), "url")
+    counted = items.withColumns({"_r": F.row_number().over(by), "_n": F.count("*").over(Window.partitionBy(chunk))})
     return counted.where(F.col("_r") <= F.ceil(F.col("_n") * share)).drop("_r", "_n")
 
 
-def rank_seeds(items: DataFrame) -> DataFrame:
-    """Seeds with a 1-based rank by score, then url.
+def global_rank(items: DataFrame, order: list[Column]) -> DataFrame:
+    """``items`` with a 1-based rank over all rows.
 
-    A global rank without a global sort in one task: rows are range-partitioned, numbered inside each part, and shifted by the parts before."""
-    scored = frontier(items).select("url", "score")
-    parted = scored.repartitionByRange(F.desc("score"), "url").withColumn("_p", F.spark_partition_id())
-    numbered = persist_table(parted.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(F.desc("score"), "url"))), "seeds")
+    Without a sort in one task: rows are range-partitioned, numbered inside each part, and shifted by the parts before."""
+    parted = items.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    numbered = persist_table(parted.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order))), "ranks")
     sizes = numbered.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
-    return numbered.join(before, "_p").select("url", "score", (F.col("_i") + F.col("_before")).alias("rank"))
+    return numbered.join(before, "_p").withColumn("rank", F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")
+
+
+def rank_seeds(items: DataFrame) -> DataFrame:
+    """Seeds (url, score) with a 1-based rank by score, then url."""
+    return global_rank(frontier(items).select("url", "score"), [F.desc("score"), F.col("url")])
 
 
 def host_queue(items: DataFrame, host: str = "host", order: str = "seq") -> DataFrame:
@@ -92,23 +115,28 @@ def reserve_times(requests: DataFrame, key: str, at_ms: str, delay_ms: Column |
 
 def accept_or_delay(requests: DataFrame, key: str, at_ms: str, delay_ms: int = DEFAULT_DELAY_MS) -> DataFrame:
     """Per key the times that are accepted when a request closer than the delay to the last accepted one is turned away."""
-    times = requests.groupBy(key).agg(F.sort_array(F.collect_list(F.col(at_ms).cast("long"))).alias("t"))
+    schema = StructType([requests.schema[key], StructField(at_ms, LongType())])
 
-    def step(acc: Column, t: Column) -> Column:
-        ok = (F.size(acc) == 0) | (t - F.element_at(acc, -1) >= delay_ms)
-        return F.when(ok, F.concat(acc, F.array(t))).otherwise(acc)
+    def run(name: tuple, table: pa.Table) -> pa.Table:
+        t = np.sort(table.column(at_ms).to_numpy())
+        accepted, at = [], 0
+        while at < len(t):
+            accepted.append(t[at])
+            at = int(np.searchsorted(t, t[at] + delay_ms))
+        return pa.table({key: pa.array([name[0].as_py()] * len(accepted), table.column(key).type), at_ms: pa.array(accepted, pa.int64())})
 
-    return times.select(key, F.explode(F.aggregate("t", F.array().cast("array<bigint>"), step)).alias(at_ms))
+    # a jump an accepted time, over one key's sorted times
+    return requests.select(key, F.col(at_ms).cast("long").alias(at_ms)).where(F.col(at_ms).isNotNull()).groupBy(key).applyInArrow(run, schema)
 
 
-def seed_distances(seeds: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
-    """(url, seed_distance): breadth-first distance over (source, target) edges, at most ``most`` hops.
+def seed_distances(seeds: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(url, seed_distance): breadth-first distance over (source, target) edges, of all that can be reached, or within ``most`` hops.
 
     Each round joins only the last round's new URLs with the edges and is cut by a written table."""
     seen = persist_table(seeds.select("url").distinct().withColumn("seed_distance", F.lit(0).cast("long")), "bfs")
     front = seen
     links = edges.select(F.col("source").alias("url"), F.col("target")).distinct()
-    for hop in range(1, most + 1):
+    for hop in count(1) if most is None else range(1, most + 1):
         step = front.join(links, "url").select(F.col("target").alias("url")).distinct()
         new = persist_table(step.join(seen, "url", "left_anti").withColumn("seed_distance", F.lit(hop).cast("long")), "bfs")
         if not new.head(1):

@@ -26,6 +26,7 @@ TAGS = dict.fromkeys((t.encode() for t in _PLAIN.split()), "plain") | {b"script"
 _NAME_END = re.compile(rb"[ \t\n\x0b\f\r>/]")
 _CLOSE = {n: re.compile(rb"</" + n + rb"[ \t\n\x0b\f\r]*>", re.I) for n, kind in TAGS.items() if kind == "skip"}
 _WHITE = b" \t\n\x0b\f\r"
+_QUOTE_OR_END, _RESET = re.compile(rb"[\"'>]"), re.compile(rb"[ \t\n\x0b\f\r=>]")
 
 PARSED = T.StructType().add("words", T.ArrayType(T.StringType())).add("title_words", T.ArrayType(T.StringType())).add("links", T.ArrayType(T.StructType().add("url", "string").add("anchor", T.ArrayType(T.StringType())))).add("base", "string").add("html_lang", "string").add("saw_body", "boolean").add("saw_close_html", "boolean").add("truncated", "boolean").add("open_discard", "boolean")
 
@@ -37,20 +38,18 @@ def _tag_close(h: bytes, at: int) -> int:
         return -1
     if b'"' not in h[at:j] and b"'" not in h[at:j]:
         return j
-    quote, fresh = 0, False
-    for p in range(at, len(h)):
-        c = h[p]
-        if quote:
-            if c == quote:
-                quote, fresh = 0, True
-            continue
-        if c in b"\"'":
-            if not fresh:
-                quote = c
-        elif c == 62:
+    p, fresh = at, -1  # fresh: right behind a closing quote, where it ended
+    while m := _QUOTE_OR_END.search(h, p):
+        p = m.start()
+        if h[p] == 62:
             return p
-        if fresh and c in b" \t\n\x0b\f\r=>":
-            fresh = False
+        if fresh >= 0 and not _RESET.search(h, fresh, p):
+            p = fresh = p + 1
+            continue
+        end = h.find(h[p : p + 1], p + 1)
+        if end < 0:
+            return -1
+        p = fresh = end + 1
     return -1
 
 

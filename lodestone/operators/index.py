@@ -16,8 +16,11 @@ NO_ANCHOR = "PageWithNoAnchorText"
 
 
 def raw_tokens(docs: DataFrame, id_col: str, words: Column, **carried: Column) -> DataFrame:
-    """(id, loc, form): every raw word takes one location, whether it gives no form, one or three."""
-    at = docs.select(F.col(id_col), *[c.alias(n) for n, c in carried.items()], F.posexplode(words).alias("loc", "word"))
+    """(id, loc, form): every raw word takes one location, whether it gives no form, one or three.
+
+    What a document's words share is computed before they are told apart, else once a word."""
+    whole = docs.select(F.col(id_col), *[c.alias(n) for n, c in carried.items()], words.alias("_words"))
+    at = whole.select(id_col, *carried, F.posexplode("_words").alias("loc", "word"))
     return at.select(id_col, *carried, F.col("loc").cast("long").alias("loc"), F.explode(X.word_forms(F.col("word"))).alias("form")).where("form <> ''")
 
 
@@ -70,6 +73,17 @@ def anchor_records(edges: DataFrame, id_col: str = "page_id") -> DataFrame:
     return grouped.select("url", F.flatten(F.col("a.anchor")).alias("words"), "referring_count")
 
 
+def merge_anchors(snapshots: list[DataFrame]) -> DataFrame:
+    """(url, words, referring_count) of several snapshots: a target's words in the order of the snapshots, its counts added."""
+    parts = [s.select("url", "words", "referring_count", F.lit(k).alias("snapshot")) for k, s in enumerate(snapshots)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.union(p)
+    # a target has a row a snapshot, or a few where one was appended to
+    grouped = every.groupBy("url").agg(F.sort_array(F.collect_list(F.struct("snapshot", "words", "referring_count"))).alias("a"), F.sum("referring_count").alias("referring_count"))
+    return grouped.select("url", F.flatten(F.col("a.words")).alias("words"), "referring_count")
+
+
 def anchor_documents(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     """(doc_id, words): the anchor text of each document, re-tokenised as letter and digit runs; a stand-in where there is none."""
     found = docs.join(anchors.select("url", "words"), "url", "left")

@@ -33,7 +33,7 @@ _NORMAL = f"regexp_replace({_lower('raw')}, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '',
 #: CTEs that end in tok(doc_id, loc, term).
 TOK = f"""tok_at AS (SELECT doc_id, unnest(ws) AS raw, unnest(range(len(ws))) AS loc FROM (SELECT doc_id, {_words("text")} AS ws FROM documents)),
 nw AS (SELECT doc_id, loc, {_NORMAL} AS w FROM tok_at),
-tok AS (SELECT * FROM (SELECT doc_id, loc, unnest({_FORMS}) AS term FROM nw) WHERE term <> '')"""
+tok AS MATERIALIZED (SELECT * FROM (SELECT doc_id, loc, unnest({_FORMS}) AS term FROM nw) WHERE term <> '')"""
 
 
 def _has(t: str) -> str:
@@ -164,12 +164,18 @@ f AS (SELECT *, CASE WHEN suffix IN ('EDU', 'GOV') THEN 4 WHEN suffix IN ('ORG',
   + CASE WHEN p IN ('/', '/index.html') THEN 2.0 ELSE CASE WHEN regexp_matches(low, '/search|/filter|/tag/|/category/|/archive/|/date/') THEN -1.5 ELSE 0 END + CASE WHEN regexp_matches(low, '/admin|/login|/account|/settings') THEN -2.0 ELSE 0 END + CASE WHEN regexp_matches(low, '/ads/|/tracking/|/analytics/') THEN -3.0 ELSE 0 END + CASE WHEN regexp_matches(low, '/blog|/article|/news|/tutorial|/guide|/docs|/post') THEN 1.0 ELSE 0 END END
   + CASE WHEN instr(url, '?') > 0 AND ({_count(r"regexp_extract(url, '(?s)\?(.*)\z', 1)", "&")} >= 2 OR strlen(regexp_extract(url, '(?s)\?(.*)\z', 1)) > 100) THEN -0.5 ELSE 0 END
   + CASE WHEN regexp_matches({_lower("host")}, '^(ads|tracking|mail|smtp|ftp)\.') THEN -2.0 ELSE 0 END AS exact FROM n)"""
-_META = """p AS (SELECT CASE WHEN page_id % 3 = 0 THEN url || '/' ELSE url END AS url, 't' || page_id AS title, 's' || page_id AS snippet, page_id AS line_no FROM pages WHERE page_id % 5 <> 0),
-meta AS (SELECT * FROM p UNION ALL SELECT url, title || 'b', snippet, line_no + 1000000 FROM p WHERE line_no % 4 = 0)"""
+_META = """p AS (SELECT CASE WHEN page_id % 5 = 0 THEN url || '#gone' WHEN page_id % 3 = 0 THEN url || '/' ELSE url END AS url, 't' || page_id AS title, 's' || page_id AS snippet, page_id AS line_no FROM pages),
+meta AS (SELECT * FROM p UNION ALL SELECT CASE WHEN line_no % 4 = 0 THEN url ELSE url || '#other' END, title || 'b', snippet, line_no + 1000000 FROM p)"""
 _STOPS = f"len(list_filter({_words('text')}, lambda w: {_lower('w')} IN {_in(STOP_WORDS)}))"
 _MADE = "[url, url || '.PDF', url || '?x=%20%20%20%20%20%20%20%20%20%20', replace(url, 'example', 'user@host.example.io:80/'), ' ' || url || '//']"
 _RAW = ["../up/./x.html", "/root/a/../b", "?q=1", "//other.example.org/p/", "#frag", "mailto:a@b.c", "page", "HTTPS://Up.example.com", "https://abs.example.com/Dir/"]
 
+_DELTA = "(locs[i] - CASE WHEN i > 1 THEN locs[i - 1] ELSE 0 END)"
+_VBYTE = f"CASE WHEN {_DELTA} < 128 THEN printf('%02X', {_DELTA}) WHEN {_DELTA} < 16384 THEN printf('%02X%02X', {_DELTA} % 128 + 128, {_DELTA} // 128) ELSE printf('%02X%02X%02X', {_DELTA} % 128 + 128, {_DELTA} // 128 % 128 + 128, {_DELTA} // 16384) END"
+_FAILING = r"[url, url || '.zip', regexp_replace(url, '\.example\.', '.example.io/', 'g'), regexp_replace(url, '^https?', 'ftp'), url || '?x=%20%20%20%20%20%20%20%20%20%20']"
+_SEEDS = r"[url, replace(url, '://', '://cdn.'), url || '/DNS-query', regexp_replace(url, '\.(com|org|net)/', '.io/', 'g')]"
+_PARITY = "list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(url, ''), lambda c: ascii(c)::HUGEINT)), lambda h, c: (h * 37 + c) % 18446744073709551616::HUGEINT)"
+
 ORACLES: dict[str, str] = {
     "word_count_total": f"SELECT sum(len({_words('text')}))::BIGINT AS n_words FROM documents",
     "word_frequency": f"SELECT word, count(*) AS n FROM (SELECT unnest({_words('text')}) AS word FROM documents) GROUP BY word",
@@ -179,7 +185,8 @@ ORACLES: dict[str, str] = {
     "tokenise_documents": f"WITH {TOK} SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms, max(loc) AS last_loc FROM tok GROUP BY doc_id",
     "posting_stats": f"WITH {TOK} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM tok GROUP BY term",
     "positional_postings": f"WITH {TOK} SELECT term, doc_id, array_to_string(list_sort(list(DISTINCT loc)), ',') AS locs FROM tok GROUP BY term, doc_id",
-    "posting_lists": f"WITH {TOK} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf, min((doc_id, loc))[1] AS first_doc, min((doc_id, loc))[2] AS first_loc FROM tok GROUP BY term",
+    "posting_lists": f"WITH {TOK} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf, min((doc_id, loc))[1] AS first_doc, min((doc_id, loc))[2] AS first_loc, md5(string_agg(doc_id || ':' || loc, ',' ORDER BY doc_id, loc)) AS list_md5 FROM tok GROUP BY term",
+    "vbyte_postings": f"WITH {TOK}, l AS (SELECT term, doc_id, list_sort(list(DISTINCT loc)) AS locs FROM tok GROUP BY term, doc_id) SELECT term, doc_id, len(locs) AS n, array_to_string(list_transform(range(1, len(locs) + 1), lambda i: {_VBYTE}), '') AS coded FROM l",
     "corpus_stats": f"WITH {TOK} SELECT (SELECT count(*) FROM documents) AS num_documents, (SELECT sum(coalesce(len({_words('text')}), 0) + 1)::BIGINT FROM documents) AS total_locations, (SELECT count(DISTINCT term) FROM tok) AS num_unique_terms",
     "location_lookup": f"WITH s AS (SELECT doc_id, len({_words('text')}) AS n FROM documents) SELECT h.loc, s.doc_id FROM (SELECT doc_id * 100000 + n // 2 AS loc FROM s) h JOIN s ON h.loc BETWEEN s.doc_id * 100000 AND s.doc_id * 100000 + s.n",
     "chunk_write_read": f"WITH {TOK} SELECT term, doc_id, count(DISTINCT loc) AS tf FROM tok WHERE term IN ('the', 'of', 'der', 'la') GROUP BY term, doc_id",
@@ -203,7 +210,7 @@ SELECT user_id, best_sum::BIGINT AS best_sum, first, last FROM (SELECT *, row_nu
     "merge_top_k": "SELECT doc_id, n_chars::DOUBLE AS score FROM documents ORDER BY score DESC, doc_id LIMIT 50",
     "url_normalize": f"WITH s AS (SELECT page_id, url AS u FROM pages), {_norm('s', 'n')} SELECT page_id, canonical FROM n",
     "url_features": f"SELECT * EXCLUDE (url) FROM ({_FEATURE_ROWS})",
-    "url_quality": f"WITH s AS (SELECT page_id, url AS u FROM pages), {_norm('s', 'n')} SELECT page_id FROM n WHERE canonical <> '' AND {_allowed('canonical')} AND NOT {_bad('canonical')} AND {_fair('canonical')}",
+    "url_quality": f"WITH s AS (SELECT page_id, unnest([0, 1, 2, 3, 4]) AS k, unnest({_FAILING}) AS u FROM pages), {_norm('s', 'n')} SELECT page_id, k FROM n WHERE canonical <> '' AND {_allowed('canonical')} AND NOT {_bad('canonical')} AND {_fair('canonical')}",
     "url_tests": f"WITH s AS (SELECT page_id, unnest([0, 1, 2, 3, 4]) AS k, unnest({_MADE}) AS u FROM pages), {_norm('s', 'n')} SELECT page_id, k, canonical, {_allowed('canonical')} AS tld_ok, {_bad('canonical')} AS bad_ext, {_fair('canonical')} AS fair, {_crawlable('canonical')} AS crawlable, starts_with(canonical, 'https://') AS https FROM n",
     "url_absolutize": rf"""WITH a AS (SELECT page_id, url AS u FROM pages), {_norm("a", "b")},
 c AS (SELECT page_id, canonical AS base, regexp_extract(canonical, '^(.*?)://', 1) AS scheme, {_origin("canonical")} AS root, regexp_extract({_path("canonical")}, '^[^?#]*', 0) AS p FROM b),
@@ -211,12 +218,20 @@ e AS (SELECT *, CASE WHEN p = '' THEN '/' ELSE p END AS full_path, CASE WHEN reg
 s AS (SELECT page_id, CASE page_id % 9 WHEN 0 THEN root || CASE WHEN len(string_split(folder, '/')) <= 3 THEN '/' ELSE regexp_replace(folder, '[^/]*/\z', '') END || 'up/x.html' WHEN 1 THEN root || '/root/b' WHEN 2 THEN root || full_path || '?q=1' WHEN 3 THEN scheme || '://other.example.org/p' WHEN 6 THEN root || folder || 'page' WHEN 8 THEN 'https://abs.example.com/Dir' ELSE '' END AS u FROM e), {_norm("s", "n")}
 SELECT page_id, canonical AS target FROM n""",
     "url_dedup_first": f"WITH s AS (SELECT page_id, url AS u FROM pages), {_norm('s', 'n')} SELECT canonical AS url, min(page_id) AS page_id FROM n GROUP BY canonical",
-    "url_unseen": "SELECT DISTINCT url FROM pages WHERE page_id % 3 <> 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)",
+    "url_unseen": "SELECT DISTINCT u AS url FROM (SELECT unnest([url, url || '/new']) AS u FROM pages) WHERE u NOT IN (SELECT url FROM pages)",
     "owner_partition": "SELECT page_id, ('0x' || left(md5(url), 8))::BIGINT % 5 AS owner FROM pages",
     "host_blacklist": f"SELECT page_id, url FROM pages WHERE NOT ({' OR '.join(f'''{_lower(_H)} = '{b}' OR ends_with({_lower(_H)}, '.{b}')''' for b in BLACKLIST)})",
-    "clean_seeds": rf"SELECT page_id, url FROM pages WHERE regexp_matches({_lower(_H)}, '(^|\.)(com|org|net|edu|gov|ca|uk|au|co\.uk|com\.au)\z') AND NOT contains({_lower('url')}, 'cdn') AND NOT contains({_lower('url')}, 'dns')",
+    "clean_seeds": rf"SELECT page_id, url FROM (SELECT page_id, unnest({_SEEDS}) AS url FROM pages) WHERE regexp_matches({_lower(_H)}, '(^|\.)(com|org|net|edu|gov|ca|uk|au|co\.uk|com\.au)\z') AND NOT contains({_lower('url')}, 'cdn') AND NOT contains({_lower('url')}, 'dns')",
     "seed_report": f"SELECT count(*) AS lines, count(DISTINCT {_H}) AS unique_lines, count(*) - count(DISTINCT {_H}) AS removed FROM pages",
     "url_decode": "SELECT page_id, 'q=' || url || ' x' AS decoded FROM pages",
+    "url_decode_lenient": "SELECT page_id, '%zz a%2=' || url || 'é%' AS decoded FROM pages",
+    "owner_parity": f"SELECT page_id, ({_PARITY} % 5)::BIGINT AS owner FROM pages",
+    "bloom_membership": "SELECT DISTINCT u AS url, k = 0 AS member FROM (SELECT unnest([url, url || '/none']) AS u, unnest([0, 1]) AS k FROM pages WHERE url IS NOT NULL)",
+    "harness_summary": "SELECT n_nationkey::BIGINT AS multiplier, length(n_name) * 1200 AS urls, row_number() OVER (ORDER BY length(n_name) DESC, n_nationkey) AS place, row_number() OVER (ORDER BY length(n_name) DESC, n_nationkey) = 1 AS best, round(length(n_name) * 1200 / 600.0::DOUBLE, 6) AS per_second, round(avg(length(n_name) * 1200) OVER () / 600.0::DOUBLE, 6) AS average_per_second FROM nation",
+    "transcode_bytes": "SELECT doc_id, md5('text: ' || text) AS text_md5 FROM documents",
+    "utf16_round_trip": r"SELECT doc_id, 2 + 2 * length(text) + 2 * len(regexp_extract_all(text, '[\x{10000}-\x{10FFFF}]')) AS n_bytes, true AS same FROM documents",
+    "anchor_merge": f"SELECT url, md5(array_to_string(flatten(list_transform(list_sort(list({{'s': s, 'w': w, 'r': r}})), lambda x: x.w)), ' ')) AS words, sum(r)::BIGINT AS referring_count FROM (SELECT {_H} AS url, 0 AS s, string_split(url, '/') AS w, page_id AS r FROM pages WHERE url IS NOT NULL UNION ALL SELECT {_H}, 1, ['second', url], 1 FROM pages WHERE url IS NOT NULL) GROUP BY url",
+    "line_collector": "SELECT regexp_replace(url, '[/.]+', '  ', 'g') AS word, count(*) AS n FROM pages GROUP BY 1",
     "frontier_score": f"WITH {_FRONTIER} SELECT page_id, host, suffix, base_length, frontier_depth, round(exact, 6) AS score FROM f",
     "seed_rank": f"WITH {_FRONTIER}, u AS (SELECT DISTINCT url, seed_distance, failed, exact FROM f) SELECT url, round(exact, 6) AS score, row_number() OVER (ORDER BY exact DESC, url) AS rank FROM u",
     "promote_top_quarter": f"WITH {_FRONTIER}, g AS (SELECT page_id, url, page_id % 3 AS sweep, round(exact, 6) AS score FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY sweep ORDER BY score DESC, url) AS k, count(*) OVER (PARTITION BY sweep) AS n FROM g) SELECT page_id, sweep, score FROM r WHERE k <= ceil(n * 0.25)",
@@ -225,6 +240,7 @@ SELECT page_id, canonical AS target FROM n""",
     "rate_limited_events": "WITH e AS (SELECT event_id, user_id, (epoch_us(ts) // 1000) AS t, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS i FROM events) SELECT event_id, user_id, max(t - i * 1800000) OVER (PARTITION BY user_id ORDER BY i) + i * 1800000 AS start_ms FROM e",
     "accepted_events": """WITH RECURSIVE e AS (SELECT user_id, (epoch_us(ts) // 1000) AS at_ms FROM events), a AS (SELECT user_id, min(at_ms) AS at_ms FROM e GROUP BY user_id UNION ALL
 SELECT a.user_id, (SELECT min(e.at_ms) FROM e WHERE e.user_id = a.user_id AND e.at_ms >= a.at_ms + 3600000) AS at_ms FROM a WHERE EXISTS (SELECT 1 FROM e WHERE e.user_id = a.user_id AND e.at_ms >= a.at_ms + 3600000)) SELECT user_id, at_ms FROM a""",
+    "checkpoint_restart": f"WITH {_FRONTIER} SELECT url, suffix, base_length, seed_distance, frontier_depth, failed, 1::BIGINT AS number FROM f WHERE suffix <> 'ORG'",
     "frontier_snapshot": f"WITH {_FRONTIER} SELECT url, suffix, base_length, seed_distance, frontier_depth, failed FROM f",
     "seed_distances": "WITH RECURSIVE b AS (SELECT 1::BIGINT AS k, 0::BIGINT AS d UNION ALL SELECT unnest([2 * k, 2 * k + 1]), d + 1 FROM b WHERE 2 * k <= (SELECT max(c_custkey) FROM customer)) SELECT k::VARCHAR AS url, d AS seed_distance FROM b WHERE k IN (SELECT c_custkey FROM customer) AND d <= 20",
     "html_signals": r"""SELECT page_id, coalesce(regexp_extract(html, '(?i)<html[^>]*lang="([^"]*)"', 1), '') AS html_lang, regexp_matches(html, '(?i)<body[\s>]') AS saw_body, regexp_matches(html, '(?i)</html\s*>') AS saw_close_html, regexp_matches(html, '(?s)<[^>]*\z') AS truncated FROM pages""",
@@ -238,7 +254,7 @@ SELECT d.page_id, d.url, coalesce(a.title, b.title, '<UNKNOWN TITLE>') AS title,
     "meta_join": f"WITH {_META} SELECT d.page_id, d.url, coalesce(title, '') AS title, coalesce(snippet, '') AS snippet FROM pages d LEFT JOIN meta m ON m.url = d.url AND line_no < 1000000",
     "meta_stitch": "WITH r AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS record FROM conversations) SELECT conv_id, record::BIGINT AS record, md5(string_agg(text, ' ' ORDER BY turn)) AS body FROM r WHERE record > 0 GROUP BY conv_id, record",
     "meta_file_repair": "SELECT url, 'title ' || page_id AS title, 'first second ' || page_id AS snippet FROM pages",
-    "value_lookup": "SELECT d.page_id, coalesce(b.value, -1) AS value FROM pages d LEFT JOIN (SELECT url, min(page_id) AS value FROM pages WHERE page_id % 2 = 0 GROUP BY url) b ON b.url = d.url",
+    "value_lookup": "SELECT d.page_id, d.k, coalesce(b.value, -1) AS value FROM (SELECT page_id, unnest([0, 1]) AS k, unnest([url, url || '?absent']) AS url FROM pages) d LEFT JOIN (SELECT url, min(page_id) AS value FROM pages GROUP BY url) b ON b.url = d.url",
     "word_collector": "SELECT word, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(url, '[/.]+'), lambda w: w <> '')) AS word FROM pages) GROUP BY word",
     "seed_list": f"WITH s AS (SELECT url AS u FROM pages), {_norm('s', 'n')} SELECT canonical AS url, count(*) AS n FROM n WHERE canonical <> '' AND {_allowed('canonical')} AND NOT {_bad('canonical')} AND {_fair('canonical')} GROUP BY canonical",
     "robots_rules": f"WITH o AS (SELECT count(DISTINCT {_origin('url')}) AS n FROM pages), r(agent, allow, pattern, literal_bytes, ends_dollar, crawl_delay) AS (VALUES ('*', false, 'fr/', 3, false, 2), ('*', false, '*?page=', 6, false, 2), ('*', true, 'fr/4*', 4, false, 2), ('{AGENT.lower()}', false, 'de/', 3, false, 0), ('{AGENT.lower()}', true, 'de/*.html', 8, true, 0)) SELECT r.*, o.n AS n_origins FROM r, o",
@@ -250,3 +266,4 @@ SELECT page_id, CASE WHEN dh THEN true WHEN d THEN false WHEN pg THEN false WHEN
     "stream_new_urls": "SELECT DISTINCT url FROM pages",
     "stream_polite_schedule": f"WITH e AS (SELECT {_H} AS host, url, page_id * 10 AS t, row_number() OVER (PARTITION BY {_H} ORDER BY page_id * 10, url) AS i FROM pages) SELECT host, url, max(t - i * 500) OVER (PARTITION BY host ORDER BY i) + i * 500 AS start_ms FROM e",
 } | {name: f"WITH {TOK} SELECT doc_id FROM documents WHERE {sql}" for name, sql in _BOOLEAN.items()}
+ORACLES["host_blacklist_file"] = ORACLES["host_blacklist"]

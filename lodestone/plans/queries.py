@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import misc, text, urls
+from lodestone.functions import codec, misc, text, urls
 from lodestone.functions.stem import with_stems
-from lodestone.operators import crawl, html, index, rank, robots
+from lodestone.operators import crawl, html, index, membership, rank, robots
 from lodestone.plans import query
 from lodestone.session import persist_table, scratch, table
 from lodestone.sources import io
@@ -39,13 +39,13 @@ Disallow: /*?page=
 Allow: /fr/4*
 Crawl-delay: 2
 
-User-agent: LinuxGetSsl
+User-agent: lodestonebot
 Disallow: /de/
 Allow: /de/*.html$
 
 Sitemap: https://example.com/map.xml
 """
-AGENT = "LinuxGetSsl"
+AGENT = "LodestoneBot"
 
 
 def add(f: Query) -> Query:
@@ -65,6 +65,32 @@ def _tokens(s: SparkSession, d: str) -> DataFrame:
     return index.text_tokens(_docs(s, d).select("doc_id", "text"))
 
 
+_made: dict[tuple, object] = {}
+
+
+def once(s: SparkSession, d: str, tables: list[str], label: str, make: Callable[[], object]):
+    """What ``make`` builds in the shared folder, built again only for another application or other files."""
+    files = []
+    for t in tables:
+        p = s.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/{t}.parquet")
+        st = p.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
+        files.append((st.getModificationTime(), st.getLen()))
+    key = (s.sparkContext.applicationId, label, d, *files)
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
+def _doc_index(s: SparkSession, d: str) -> DataFrame:
+    """The documents' postings, sorted by term: built by the first query, opened by all."""
+    def make() -> str:
+        path = scratch(s, "doc-index")
+        query.build(_tokens(s, d), path)
+        return path
+
+    return query.open_index(s, once(s, d, ["documents"], "doc-index", make))
+
+
 def _url_items(s: SparkSession, d: str) -> DataFrame:
     u = F.col("url")
     return _pages(s, d).select("page_id", "url", (F.col("page_id") % 4).alias("seed_distance"), (F.col("page_id") % 7 == 0).alias("failed")).where(u.isNotNull())
@@ -119,7 +145,7 @@ def positional_postings(s, d):
 @add
 def posting_lists(s, d):
     p = index.posting_lists(_tokens(s, d))
-    return p.select("term", "df", "cf", F.element_at("locations", 1)["doc_id"].alias("first_doc"), F.element_at("locations", 1)["loc"].alias("first_loc"))
+    return p.select("term", "df", "cf", F.element_at("locations", 1)["doc_id"].alias("first_doc"), F.element_at("locations", 1)["loc"].alias("first_loc"), F.md5(F.array_join(F.transform("locations", lambda x: F.concat_ws(":", x["doc_id"], x["loc"])), ",")).alias("list_md5"))
 
 
 @add
@@ -136,9 +162,16 @@ def location_lookup(s, d):
     return index.location_lookup(hits, spans).select("loc", "doc_id")
 
 
+@add
+def vbyte_postings(s, d):
+    """Every positional list as variable-byte deltas, and its length after decoding."""
+    p = index.postings(_tokens(s, d)).withColumn("coded", codec.encode_deltas(F.col("locs")))
+    return p.select("term", "doc_id", F.hex("coded").alias("coded"), F.size(codec.decode_deltas()(F.col("coded"))).cast("long").alias("n"))
+
+
 @add
 def stem_vocabulary(s, d):
-    words = _tokens(s, d).select(F.col("term").alias("form")).distinct()
+    words = persist_table(_tokens(s, d).select(F.col("term").alias("form")).distinct(), "vocabulary")
     return with_stems(words)
 
 
@@ -183,6 +216,21 @@ def bloom_sizing(s, d):
     return table(s, d, "region").agg(F.lit(m).cast("long").alias("bits"), F.lit(k).cast("long").alias("hashes"))
 
 
+@add
+def bloom_membership(s, d):
+    """Every page's URL is in the filter, as good as none of the made ones."""
+    p = _pages(s, d).where("url is not null")
+    f = membership.build_filter(p, "url", 10e6)
+    return membership.maybe_members(p.select(F.explode(F.array("url", F.concat("url", F.lit("/none")))).alias("url")), "url", f, 10e6)
+
+
+@add
+def harness_summary(s, d):
+    """Settings of a throughput run, made from the nations: place, rate and average."""
+    runs = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("multiplier"), (F.length("n_name") * 1200).cast("long").alias("urls"))
+    return misc.harness_summary(runs, 600).select("multiplier", "urls", "place", "best", F.round("per_second", 6).alias("per_second"), F.round("average_per_second", 6).alias("average_per_second"))
+
+
 @add
 def md5_halves(s, d):
     a, b = text.md5_halves(F.col("url"))
@@ -195,6 +243,14 @@ def utf16_round_trip(s, d):
     return _docs(s, d).select("doc_id", F.length(b).cast("long").alias("n_bytes"), (text.from_utf16(b) == F.col("text")).alias("same"))
 
 
+@add
+def transcode_bytes(s, d):
+    """Texts in four encodings, told apart by their bytes."""
+    t = F.concat(F.lit("text: "), "text")
+    raw = F.element_at(F.array(F.encode(t, "UTF-8"), F.encode(t, "UTF-16"), F.encode(t, "UTF-16LE"), F.encode(t, "UTF-16BE")), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
+    return _docs(s, d).select("doc_id", F.md5(text.transcode_udf()(raw)).alias("text_md5"))
+
+
 # -- text filters -----------------------------------------------------------------------------------------------------
 
 
@@ -242,7 +298,7 @@ def http_decode(s, d):
 
 
 def _boolean(q: str) -> Query:
-    return lambda s, d: query.match([_tokens(s, d)], q, stemmed=False)
+    return lambda s, d: query.match([_doc_index(s, d)], q, stemmed=False)
 
 
 for _name, _q in BOOLEAN.items():
@@ -252,14 +308,14 @@ for _name, _q in BOOLEAN.items():
 @add
 def search_documents(s, d):
     scored = _docs(s, d).select("doc_id", F.col("source").alias("url"), F.col("n_chars").cast("double").alias("score"))
-    return query.search([_tokens(s, d)], scored, "the -555-3824", 20)
+    return query.search([_doc_index(s, d)], scored, "the -555-3824", 20)
 
 
 @add
 def dual_source_not(s, d):
     """The whole query is evaluated on body and source names by themselves; their results are united."""
     names = index.text_tokens(_docs(s, d).select("doc_id", F.concat(F.lit("la "), "source").alias("text")))
-    return query.match([_tokens(s, d), names], "la -the -src3", stemmed=False)
+    return query.match([_doc_index(s, d), names], "la -the -src3", stemmed=False)
 
 
 @add
@@ -284,7 +340,9 @@ def url_features(s, d):
 
 @add
 def url_quality(s, d):
-    return _pages(s, d).where(urls.passes_quality(F.col("url"))).select("page_id")
+    """URLs, and ones made to fail one check each."""
+    made = F.array(F.col("url"), F.concat("url", F.lit(".zip")), F.regexp_replace("url", r"\.example\.", ".example.io/"), F.regexp_replace("url", "^https?", "ftp"), F.concat("url", F.lit("?x=%20%20%20%20%20%20%20%20%20%20")))
+    return _pages(s, d).select("page_id", F.posexplode(made).alias("k", "url")).where(urls.passes_quality(F.col("url"))).select("page_id", "k")
 
 
 @add
@@ -310,7 +368,7 @@ def url_dedup_first(s, d):
 @add
 def url_unseen(s, d):
     p = _pages(s, d)
-    return crawl.unseen(p.where("page_id % 3 <> 0").select("url"), p.where("page_id % 2 = 0").select("url"))
+    return crawl.unseen(p.select(F.explode(F.array("url", F.concat("url", F.lit("/new")))).alias("url")), p.select("url"))
 
 
 @add
@@ -318,6 +376,19 @@ def owner_partition(s, d):
     return _pages(s, d).select("page_id", crawl.owner(F.col("url"), 5).alias("owner"))
 
 
+@add
+def owner_parity(s, d):
+    return crawl.route(_pages(s, d).select("page_id", "url"), 5).select("page_id", crawl.owner_by_parity(F.col("url"), 5).alias("owner"))
+
+
+@add
+def host_blacklist_file(s, d):
+    """The same list, read from a file of domains and URLs."""
+    path = scratch(s, "blacklist")
+    s.createDataFrame([(x if k % 2 else f" https://{x}/start ",) for k, x in enumerate(BLACKLIST)] + [("",)], "value string").write.text(path)
+    return crawl.drop_blacklisted(_pages(s, d).select("page_id", "url"), io.read_blacklist(s, path))
+
+
 @add
 def host_blacklist(s, d):
     listed = s.createDataFrame([(x,) for x in BLACKLIST], "domain string")
@@ -326,7 +397,9 @@ def host_blacklist(s, d):
 
 @add
 def clean_seeds(s, d):
-    return crawl.clean_seeds(_pages(s, d).select("page_id", "url"))
+    """Seeds, and ones made to be turned away."""
+    made = F.array(F.col("url"), F.regexp_replace("url", "://", "://cdn."), F.concat("url", F.lit("/DNS-query")), F.regexp_replace("url", r"\.(com|org|net)/", ".io/"))
+    return crawl.clean_seeds(_pages(s, d).select("page_id", F.explode(made).alias("url")))
 
 
 @add
@@ -339,6 +412,12 @@ def url_decode(s, d):
     return _pages(s, d).select("page_id", text.decode_query(F.concat(F.lit("q%3D"), F.url_encode("url"), F.lit("+x"))).alias("decoded"))
 
 
+@add
+def url_decode_lenient(s, d):
+    """A % without two hex digits stands for itself."""
+    return _pages(s, d).select("page_id", text.decode_query(F.concat(F.lit("%zz+a%2%3D"), "url", F.lit("%C3%A9%"))).alias("decoded"))
+
+
 # -- frontier ---------------------------------------------------------------------------------------------------------
 
 
@@ -390,6 +469,17 @@ def frontier_snapshot(s, d):
     return io.parse_frontier_lines(s.read.text(path))
 
 
+@add
+def checkpoint_restart(s, d):
+    """A checkpoint of frontier and seen URLs, an unfinished one after it, and what a restart finds to do."""
+    path = scratch(s, "checkpoint")
+    f = crawl.frontier(_url_items(s, d))
+    io.write_checkpoint(f, f.where("suffix = 'ORG'"), path, 1)
+    f.select(io.frontier_line().alias("value")).write.text(f"{path}/000000002/frontier")
+    items, seen, header = io.read_checkpoint(s, path)
+    return items.join(seen.distinct(), "url", "left_anti").withColumn("number", F.lit(header["number"]))
+
+
 @add
 def seed_distances(s, d):
     """Breadth-first distance on a link graph over orders' customers: customer k links to 2k and 2k + 1."""
@@ -433,12 +523,22 @@ def anchor_records(s, d):
 
 
 def _anchored(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(indexed pages with canonical URL, anchor texts); pages link to example hosts, so a stand-in link graph joins each to the next."""
-    parsed = _parsed(s, d).withColumn("url", urls.normalize(F.col("url")))
-    ring = parsed.select(((F.col("page_id") + 1)).alias("doc_id"), F.col("title_words").alias("words"))
-    docs = parsed.select(F.col("page_id").alias("doc_id"), "url")
-    anchors = docs.join(ring, "doc_id").groupBy("url").agg(F.min_by("words", "doc_id").alias("words"))
-    return docs, anchors
+    """(pages with their canonical URL, anchor texts by target): link edges to records, written as a snapshot and read back."""
+    parsed = _parsed(s, d)
+    path = scratch(s, "anchors")
+    io.write_anchor_snapshot(index.anchor_records(index.link_edges(parsed)), path)
+    docs = _pages(s, d).select(F.col("page_id").alias("doc_id"), urls.normalize(F.col("url")).alias("url"))
+    return docs, index.merge_anchors([io.read_anchor_snapshot(s, path)])
+
+
+@add
+def anchor_merge(s, d):
+    """Two snapshots, whose records of one target are united."""
+    p = _pages(s, d).where("url is not null")
+    host = urls.host(F.col("url"))
+    first = p.select(host.alias("url"), F.split("url", "/").alias("words"), F.col("page_id").alias("referring_count"))
+    second = p.select(host.alias("url"), F.array(F.lit("second"), "url").alias("words"), F.lit(1).cast("long").alias("referring_count"))
+    return index.merge_anchors([first, second]).select("url", F.md5(F.array_join("words", " ")).alias("words"), "referring_count")
 
 
 @add
@@ -493,10 +593,11 @@ def meta_records(s, d):
 
 def _meta(s: SparkSession, d: str) -> DataFrame:
     """Metadata keyed by URLs of which every third gains a slash and every fifth is missing, with repeats."""
-    p = _pages(s, d).where("page_id % 5 <> 0")
-    u = F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("/"))).otherwise(F.col("url"))
+    p = _pages(s, d)
+    u = F.when(F.col("page_id") % 5 == 0, F.concat("url", F.lit("#gone"))).when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("/"))).otherwise(F.col("url"))
     one = p.select(u.alias("url"), F.concat(F.lit("t"), "page_id").alias("title"), F.concat(F.lit("s"), "page_id").alias("snippet"), F.col("page_id").alias("line_no"))
-    return one.union(one.where("line_no % 4 = 0").select("url", F.concat("title", F.lit("b")), "snippet", F.col("line_no") + 1_000_000))
+    again = F.when(F.col("line_no") % 4 == 0, F.col("url")).otherwise(F.concat("url", F.lit("#other")))
+    return one.union(one.select(again, F.concat("title", F.lit("b")), "snippet", F.col("line_no") + 1_000_000))
 
 
 @add
@@ -520,15 +621,16 @@ def meta_stitch(s, d):
 def meta_file_repair(s, d):
     """Metadata lines with broken records, written to a file and read back whole."""
     path = scratch(s, "meta")
-    p = _pages(s, d).select(F.concat_ws("\t", "url", F.concat(F.lit("title "), "page_id"), F.concat(F.lit("first\nsecond "), "page_id")).alias("value"))
-    p.write.text(path)
+    p = _pages(s, d).select("url", F.concat(F.lit("title "), "page_id").alias("title"), F.concat(F.lit("first\nsecond "), "page_id").alias("snippet"))
+    io.write_meta(p, path)
     return io.read_meta(s, path).select("url", "title", "snippet")
 
 
 @add
 def value_lookup(s, d):
-    blob = _pages(s, d).where("page_id % 2 = 0").select("url", F.col("page_id").alias("value"))
-    return io.lookup(_pages(s, d).select("page_id", "url"), blob, "url", -1).select("page_id", "value")
+    blob = _pages(s, d).select("url", F.col("page_id").alias("value"))
+    asked = _pages(s, d).select("page_id", F.posexplode(F.array("url", F.concat("url", F.lit("?absent")))).alias("k", "url"))
+    return io.lookup(asked, blob, "url", -1).select("page_id", "k", "value")
 
 
 @add
@@ -544,6 +646,14 @@ def word_collector(s, d):
     return index.word_frequency(io.collect_words(s, path))
 
 
+@add
+def line_collector(s, d):
+    """Whole lines as words."""
+    path = scratch(s, "lines")
+    _pages(s, d).select(F.regexp_replace("url", "[/.]+", "  ").alias("value")).write.text(path)
+    return index.word_frequency(io.collect_words(s, path, whole_lines=True))
+
+
 @add
 def seed_list(s, d):
     path = scratch(s, "seeds")
@@ -585,13 +695,22 @@ def robots_precedence(s, d):
 
 
 def _page_index(s: SparkSession, d: str) -> tuple[list[DataFrame], DataFrame, DataFrame]:
-    """(body and anchor tokens, scored documents, metadata); the parsed pages are written once and read by each."""
-    docs, anchors = _anchored(s, d)
-    parsed = persist_table(_parsed(s, d).where(~html.is_broken()), "parsed")
-    body = index.page_tokens(parsed).withColumnRenamed("page_id", "doc_id")
-    a = index.anchor_documents(docs, anchors)
-    anchor = with_stems(index.raw_tokens(a, "doc_id", F.col("words"))).select("doc_id", "loc", F.col("stem").alias("term"))
-    return [body, anchor], index.documents(parsed), index.meta_records(parsed)
+    """(body and anchor postings, scored documents, metadata): crawled pages turned into an index once, opened by every search."""
+
+    def make() -> tuple:
+        parsed = persist_table(_parsed(s, d).where(~html.is_broken()), "parsed")
+        docs, anchors = _anchored(s, d)
+        a = index.anchor_documents(docs.join(parsed.select(F.col("page_id").alias("doc_id")), "doc_id", "left_semi"), anchors)
+        raw = persist_table(index.raw_tokens(parsed, "page_id", F.concat("title_words", "words")), "page-words")
+        body = with_stems(raw).select(F.col("page_id").alias("doc_id"), "loc", F.col("stem").alias("term"))
+        anchor = with_stems(persist_table(index.raw_tokens(a, "doc_id", F.col("words")), "anchor-words")).select("doc_id", "loc", F.col("stem").alias("term"))
+        paths = [scratch(s, "body-index"), scratch(s, "anchor-index")]
+        for t, p in zip((body, anchor), paths, strict=True):
+            query.build(t, p)
+        return paths, persist_table(index.documents(parsed), "page-documents"), persist_table(index.meta_records(parsed), "page-meta")
+
+    paths, scored, meta = once(s, d, ["pages"], "page-index", make)
+    return [query.open_index(s, p) for p in paths], scored, meta
 
 
 @add
@@ -607,6 +726,13 @@ def search_compat(s, d):
     return query.search(sources, scored, "the zzzzqqqq OR de", 20, compat=True)
 
 
+@add
+def search_request(s, d):
+    """A request whose k isn't a number, and one without a query."""
+    sources, scored, meta = _page_index(s, d)
+    return query.request(sources, scored, meta, {"q": "de -zzzz", "k": "+5"}).union(query.request(sources, scored, meta, {"k": "5"}))
+
+
 @add
 def search_json(s, d):
     sources, scored, meta = _page_index(s, d)

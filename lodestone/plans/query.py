@@ -1,8 +1,10 @@
 """The boolean and phrase query language, from text to one DataFrame plan.
 
-Lexer and parser run on the driver and give a small tree. The plan scans only the query's terms, aggregates once
-per (document, source) into a flag a term and a location array a phrase term, filters by one predicate, unites the
-sources, joins the precomputed scores and keeps the top k: one shuffle, no join per term.
+Lexer and parser run on the driver and give a small tree. A source is a table of postings
+(id, term, locs), as build() writes it sorted by term, or of tokens (id, loc, term). The plan scans only the query's terms (of
+postings, the Parquet scan reads only their row groups), aggregates once per (document, source) into a flag a term and a location
+array a phrase term, filters by one predicate, unites the sources, joins the precomputed scores and keeps the top k: one
+shuffle, no join per term.
 
 Default semantics are the intended ones: a missing term is a false AND group, an unmatched ) is ignored. With
 compat=True, terms missing from a source cut the parse short and a stray ) ends the query. In both, a group of
@@ -14,11 +16,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.stem import stem
 from lodestone.functions.text import LOWER, UPPER
+from lodestone.operators import index
+from lodestone.sources import io
 
 _FOLD = str.maketrans(UPPER, LOWER)
 _SPACE = " \t\n\x0b\f\r"
@@ -194,7 +198,7 @@ def predicate(node: Node, name: dict[str, str]) -> Column:
         common = F.col("at_" + name[node.terms[0]])
         for k, t in enumerate(node.terms[1:], 1):
             common = F.array_intersect(common, _shifted(F.col("at_" + name[t]), k))
-        return F.size(common) > 0
+        return F.coalesce(F.size(common) > 0, F.lit(False))
     if isinstance(node, Or):
         out = predicate(node.parts[0], name)
         for p in node.parts[1:]:
@@ -218,11 +222,24 @@ def evaluate(tokens: DataFrame, node: Node | None, id_col: str = "doc_id") -> Da
     aggs = []
     for t in wanted:
         aggs.append(F.max(F.col("term") == t).alias("has_" + name[t]))
-        if t in located:
+        if t in located and "locs" in tokens.columns:
+            aggs.append(F.first(F.when(F.col("term") == t, F.col("locs")), ignorenulls=True).alias("at_" + name[t]))
+        elif t in located:
             aggs.append(F.collect_list(F.when(F.col("term") == t, F.col("loc"))).alias("at_" + name[t]))
     return tokens.where(F.col("term").isin(wanted)).groupBy(id_col).agg(*aggs).where(predicate(node, name)).select(id_col)
 
 
+def build(tokens: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
+    """Writes a source's postings, sorted by term, and opens them."""
+    io.write_chunks(index.postings(tokens, id_col), path, None, id_col)
+    return open_index(tokens.sparkSession, path)
+
+
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    """The postings (id, term, locs) that build() or an earlier job wrote; a filter on term reaches the scan."""
+    return io.read_postings(spark, path)
+
+
 def match(sources: list[DataFrame], query: str, id_col: str = "doc_id", compat: bool = False, stemmed: bool = True) -> DataFrame:
     """Ids that match in any source; the whole query is evaluated on each by itself, NOT included."""
     tokens = lex(query, stemmed)
@@ -238,6 +255,11 @@ def match(sources: list[DataFrame], query: str, id_col: str = "doc_id", compat:
     return found.distinct() if len(sources) > 1 else found
 
 
+def clamp_k(text: str | None, default: int = 20, most: int = 10000) -> int:
+    """k of a request: digits only, at least 1, at most ``most``; ``default`` for all else."""
+    return min(most, max(1, int(text))) if text and text.isascii() and text.isdigit() else default
+
+
 def search(sources: list[DataFrame], scored: DataFrame, query: str, k: int = 20, meta: DataFrame | None = None, compat: bool = False) -> DataFrame:
     """The k best documents that match, by static score, ties by doc_id; metadata is joined after the cut."""
     if not 1 <= k <= 10000:
@@ -259,6 +281,15 @@ def merge_top_k(parts: list[DataFrame], k: int) -> DataFrame:
     return out.orderBy(F.desc("score"), "doc_id").limit(k)
 
 
+def request(sources: list[DataFrame], scored: DataFrame, meta: DataFrame, params: dict[str, str]) -> DataFrame:
+    """The answer to a request with parameters q and k, as one JSON text; of a request without a query, the error."""
+    spark = scored.sparkSession
+    q = params.get("q", "")
+    if not q.strip():
+        return spark.range(1).select(F.to_json(F.struct(F.lit("missing query").alias("error"))).alias("json"))
+    return to_json(search(sources, scored, q, clamp_k(params.get("k")), meta), q)
+
+
 def to_json(result: DataFrame, query: str) -> DataFrame:
     """One JSON text: query, total_results and results with four-digit scores."""
     rows = result.select(F.struct((-F.col("score")).alias("o"), "doc_id", F.struct("url", "title", "snippet", F.format_number("score", 4).alias("score")).alias("r")).alias("x"))
