@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -26,6 +28,7 @@ def ship(spark: SparkSession) -> None:
         for p in sorted((_ROOT / "lodestone").rglob("*.py")):
             z.write(p, p.relative_to(_ROOT))
     spark.sparkContext.addPyFile(f.name)
+    atexit.register(lambda: os.path.exists(f.name) and os.unlink(f.name))
     _shipped.add(app)
 
 
@@ -42,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         d = current.get() if current.isDefined() else None
     if not d:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="lodestone-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
