@@ -2,10 +2,11 @@
 
 A document of n tokens becomes as many sequences of ``longest`` tokens as fit, and one for each binary digit of
 the rest, the longest first. Sequences of equal length form a bucket, from which a trainer draws whole batches of
-one length. Every row is cut by itself: no shuffle, and the buckets are as good as a column to partition a sink by.
+one length: ``write_buckets`` writes each to a folder of its own. Every row is cut by itself, without a shuffle.
 
 Defined results. Null, empty and token-less texts give no sequence. Every row is cut whatever its doc_id (null stays
-null); repeated rows give repeated sequences. Columns other than doc_id and text aren't read and not returned.
+null); repeated rows give repeated sequences; an empty table gives none. A text of any length is tokenised whole, and gives rows of at
+most ``longest`` tokens. Columns other than doc_id and text aren't read and not returned.
 """
 
 from __future__ import annotations
@@ -55,3 +56,8 @@ def pack(docs: DataFrame, path: str = RANKS, longest: int = LONGEST) -> DataFram
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array((edges[:-1] - off[row]).astype(np.int32)), pa.array(length.astype(np.int32)), tokens], names=["doc_id", "piece", "start", "bucket", "tokens"])
 
     return texts.mapInArrow(run, SCHEMA)
+
+
+def write_buckets(sequences: DataFrame, path: str) -> None:
+    """Each length in a folder bucket=<length>, so that a trainer reads whole batches of one length; no shuffle."""
+    sequences.write.partitionBy("bucket").parquet(path)

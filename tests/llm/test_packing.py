@@ -63,3 +63,11 @@ def test_edges(edge_docs, no_docs, reference):
     assert packing.pack(no_docs).count() == 0
     with pytest.raises(ValueError):
         packing.pack(no_docs, longest=3)
+
+
+def test_buckets_have_folders(spark, tmp_path):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    packing.write_buckets(packing.pack(docs, longest=16), f"{tmp_path}/b")
+    back = spark.read.parquet(f"{tmp_path}/b")
+    assert back.where("size(tokens) <> bucket").count() == 0 and back.count() == packing.pack(docs, longest=16).count()
+    assert {p.name for p in (tmp_path / "b").glob("bucket=*")} <= {f"bucket={1 << k}" for k in range(5)}

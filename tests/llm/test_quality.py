@@ -66,3 +66,28 @@ def test_edges(spark, edge_docs, no_docs):
     assert {r.keep for r in quality.score(edge_docs, none, 2).collect()} == {False}
     one = quality.train(edge_docs, labels.where("quality = 1"), quality.rating())
     assert {(r.keep, r.expected_grade) for r in quality.score(edge_docs, one, 2).collect()} == {(True, 2.0)}
+
+
+def test_fit_is_the_maximum_of_the_likelihood(monkeypatch):
+    """Against plain gradient descent on the definition, with features made by hand."""
+    monkeypatch.setattr(quality, "CHI2", -1.0)
+    rng = np.random.default_rng(4)
+    n, f, l2 = 300, 7, 1e-2
+    x = rng.random((n, f)) < 0.4
+    score = x @ rng.normal(size=f) + rng.logistic(size=n)
+    y = (score > -0.5).astype(int) + (score > 0.8)
+    rows, cells = np.nonzero(x)
+    model = quality.fit_cells(rows.astype(np.int32), cells.astype(np.int32), y, steps=200, l2=l2)
+    w, cut = np.zeros(f), np.array([-1.0, 1.0])
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    for _ in range(30_000):
+        s = sig((x @ w)[:, None] - cut)
+        full = np.concatenate([np.ones((n, 1)), s, np.zeros((n, 1))], 1)
+        p = full[np.arange(n), y] - full[np.arange(n), y + 1]
+        slope = full * (1 - full)
+        up, low = slope[np.arange(n), y] / p, slope[np.arange(n), y + 1] / p
+        gw = x.T @ (low - up) / n + l2 * w
+        gc = np.array([(up[y == k + 1].sum() - low[y == k].sum()) / n for k in range(2)])
+        w, cut = w - 0.5 * gw, cut - 0.5 * gc
+    assert np.abs(model.weights[:f] - w).max() < 0.02
+    assert np.abs(model.thresholds - cut).max() < 0.02
