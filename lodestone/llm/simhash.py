@@ -10,7 +10,7 @@ In a trie every fingerprint climbs from its full key to shorter prefixes: always
 together find a pair at the largest distance with probability ``recall``, and further, up to CLIMB bits, as long as the wider node
 holds at most ``leaf`` rows. So dense regions stay at that depth, sparse ones widen. The depth and the
 number of tries follow the corpus (the latter about n**0.3), and no node is cut short: nodes of any size are
-compared in full. Pairs in a node are verified with their exact 256-bit distance. Tests hold the recall against brute force.
+compared in full (a region of more than MOST fingerprints is read node by node, without the climb). Pairs in a node are verified with their exact 256-bit distance. Tests hold the recall against brute force.
 
 Defined results. Documents with null, empty or word-less text are nobody's duplicate; rows with a null
 doc_id take no part and stay. Repeated rows (equal doc_id and text) are one document. Of a group the
@@ -37,6 +37,7 @@ RECALL = 0.9
 LEAF = 64
 _VOTES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1)
 CLIMB = 8
+MOST = 1 << 20
 _WEIGHT = np.array([0, 0.05, 0.05, 0.1, 0.25, 0.5, 0.75] + [1.0] * 9, np.float32)
 FP = ["f0", "f1", "f2", "f3"]
 
@@ -162,7 +163,7 @@ def leaf_stars(tree: np.ndarray, key: np.ndarray, fp: np.ndarray, coarse: int, d
     return np.arange(n), label
 
 
-def near_duplicate_edges(distinct: DataFrame, n: int, distance: int = DISTANCE, recall: float = RECALL, leaf: int = LEAF) -> DataFrame:
+def near_duplicate_edges(distinct: DataFrame, n: int, distance: int = DISTANCE, recall: float = RECALL, leaf: int = LEAF, most: int = MOST) -> DataFrame:
     """Edges (a, b) between rows of ``distinct`` (node, f0..f3) whose components are those of the pairs found."""
     depth, tries = forest_shape(n, distance, recall, leaf)
     coarse = max(0, depth - CLIMB)
@@ -196,11 +197,15 @@ def near_duplicate_edges(distinct: DataFrame, n: int, distance: int = DISTANCE,
                 continue
             held.append(batch)
             count += batch.num_rows
-            if count >= 1 << 16:
+            if count >= min(1 << 16, most):
                 rows = pa.Table.from_batches(held).combine_chunks()
                 t, hd = rows.column("tree").to_numpy(), rows.column("head").to_numpy()
                 same = (t == t[-1]) & (hd == hd[-1])
                 cut = len(t) - int(np.argmin(same[::-1])) if not same.all() else 0
+                if not cut and count >= most:  # a dense head: its rows part where the depth that recall needs does, so they climb no further
+                    node = (rows.column("key").to_numpy().view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(64 - depth) if depth else np.zeros(len(t), np.uint64)
+                    same = node == node[-1]
+                    cut = len(t) - int(np.argmin(same[::-1])) if not same.all() else 0
                 if cut:
                     yield solve(rows.slice(0, cut).combine_chunks())
                     held = rows.slice(cut).to_batches()

@@ -115,3 +115,19 @@ def test_nodes_climb_while_sparse_and_not_where_dense():
     _, root = simhash.leaf_stars(np.zeros(len(key), np.int64), key, fp, 2, 8, 16, 64)
     assert root[-1] == root[-2]  # apart at depth 8, together after the climb
     assert len(set(root[:300].tolist())) == 1
+
+
+def test_dense_regions_are_read_node_by_node(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, (40, 4))
+    fp = np.repeat(base, 30, axis=0)
+    fp[:, 3] ^= 1 << rng.integers(0, 62, len(fp))
+    fp = np.unique(fp, axis=0)
+    rows = spark.createDataFrame([(i, *map(int, r)) for i, r in enumerate(fp)], "node long, f0 long, f1 long, f2 long, f3 long")
+    pairs = {}
+    for most in (7, 1 << 20):
+        label = np.arange(len(fp))
+        for a, b in simhash.near_duplicate_edges(rows, len(fp), leaf=4, most=most).collect():
+            label[label == max(label[a], label[b])] = min(label[a], label[b])
+        pairs[most] = len(set(label.tolist()))
+    assert pairs[1 << 20] == 40 and pairs[7] <= 42
