@@ -231,6 +231,10 @@ SELECT page_id, canonical AS target FROM n""",
     "transcode_bytes": "SELECT doc_id, md5('text: ' || text) AS text_md5 FROM documents",
     "utf16_round_trip": r"SELECT doc_id, 2 + 2 * length(text) + 2 * len(regexp_extract_all(text, '[\x{10000}-\x{10FFFF}]')) AS n_bytes, true AS same FROM documents",
     "anchor_merge": f"SELECT url, md5(array_to_string(flatten(list_transform(list_sort(list({{'s': s, 'w': w, 'r': r}})), lambda x: x.w)), ' ')) AS words, sum(r)::BIGINT AS referring_count FROM (SELECT {_H} AS url, 0 AS s, string_split(url, '/') AS w, page_id AS r FROM pages WHERE url IS NOT NULL UNION ALL SELECT {_H}, 1, ['second', url], 1 FROM pages WHERE url IS NOT NULL) GROUP BY url",
+    "document_lookup": "SELECT doc_id, source, md5(text) AS text_md5 FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
+    "document_urls": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://base.example.org/' || page_id ELSE url END AS url FROM pages",
+    "file_word_count": f"SELECT sum(len({_words('text')}))::BIGINT AS n_words FROM documents",
+    "windowed_event_counts": "SELECT epoch_ms(date_trunc('hour', ts)) AS start_ms, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "line_collector": "SELECT regexp_replace(url, '[/.]+', '  ', 'g') AS word, count(*) AS n FROM pages GROUP BY 1",
     "frontier_score": f"WITH {_FRONTIER} SELECT page_id, host, suffix, base_length, frontier_depth, round(exact, 6) AS score FROM f",
     "seed_rank": f"WITH {_FRONTIER}, u AS (SELECT DISTINCT url, seed_distance, failed, exact FROM f) SELECT url, round(exact, 6) AS score, row_number() OVER (ORDER BY exact DESC, url) AS rank FROM u",

@@ -639,6 +639,34 @@ def directory_walk(s, d):
     return io.walk(s, d).select(F.element_at(F.split("path", "/"), -1).alias("name"))
 
 
+@add
+def document_lookup(s, d):
+    """The documents that the labels name: an equi-join on the id."""
+    return io.fetch(table(s, d, "labels").select("doc_id"), _docs(s, d).select("doc_id", "source", F.md5("text").alias("text_md5")), "doc_id")
+
+
+@add
+def document_urls(s, d):
+    """A page's own URL, or its base where it has none."""
+    own = F.when(F.col("page_id") % 3 == 0, F.lit("")).otherwise(F.col("url"))
+    return _pages(s, d).select("page_id", html.document_url(own, F.concat(F.lit("https://base.example.org/"), "page_id")).alias("url"))
+
+
+@add
+def file_word_count(s, d):
+    """Words of all files below a folder."""
+    path = scratch(s, "texts")
+    _docs(s, d).select(F.regexp_replace("text", "\\s+", " ").alias("value"), F.pmod("doc_id", F.lit(3)).alias("part")).write.partitionBy("part").text(path)
+    return io.collect_words(s, path).agg(F.count("*").alias("n_words"))
+
+
+@add
+def page_outline(s, d):
+    """A page as lines: words, title, links and base."""
+    links = F.transform("links", lambda x: F.concat(x["url"], F.lit(" "), F.array_join(x["anchor"], " ")))
+    return _parsed(s, d).select("page_id", F.concat_ws("\n", F.array_join("words", " "), F.array_join("title_words", " "), F.array_join(links, "\n"), "base").alias("outline"))
+
+
 @add
 def word_collector(s, d):
     path = scratch(s, "words")
@@ -744,7 +772,7 @@ def search_json(s, d):
 
 
 def _page_stream(s: SparkSession, d: str) -> DataFrame:
-    return s.readStream.schema("page_id long, url string, html string").option("pathGlobFilter", "pages.parquet").parquet(d)
+    return jobs.page_stream(s, d, names="pages.parquet")
 
 
 def _drain(stream: DataFrame, label: str) -> DataFrame:
@@ -763,6 +791,13 @@ def stream_index(s, d):
     return t.groupBy("field").agg(F.count("*").alias("n_tokens"), F.count_distinct("term").alias("n_terms"))
 
 
+@add
+def windowed_event_counts(s, d):
+    """The streaming job's counts, over the whole table at once."""
+    e = table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return jobs.windowed_counts(e, "ts", "event_type", "1 hour").select(F.unix_millis("window.start").alias("start_ms"), "event_type", "n")
+
+
 @add
 def stream_new_urls(s, d):
     return _drain(jobs.new_urls(_page_stream(s, d).select("url")), "stream-urls")

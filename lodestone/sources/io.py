@@ -132,6 +132,11 @@ def walk(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").orderBy("path")
 
 
+def fetch(ids: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """The table's rows of the asked ids, each once; AQE broadcasts the ids when they are few."""
+    return table.join(ids.select(key).distinct(), key, "left_semi")
+
+
 def lookup(keys: DataFrame, blob: DataFrame, key: str, default) -> DataFrame:
     """The values of keys in a key/value table, ``default`` where absent; of a repeated key the first stored (least value order) counts."""
     first = blob.groupBy(key).agg(F.min("value").alias("value"))

@@ -15,9 +15,9 @@ from lodestone.operators.html import is_broken, parse_pages
 from lodestone.operators.index import page_tokens
 
 
-def page_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
-    """Pages from a folder of Parquet files; the file limit is the back-pressure."""
-    return spark.readStream.schema("page_id long, url string, html string").option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def page_stream(spark: SparkSession, path: str, files_per_trigger: int = 4, names: str = "*") -> DataFrame:
+    """Pages from a folder of Parquet files whose names fit; the file limit is the back-pressure."""
+    return spark.readStream.schema("page_id long, url string, html string").option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", names).parquet(path)
 
 
 def index_stream(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
