@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, lines, packing, quality, simhash
-from lodestone.session import persist_table, table
+from lodestone.session import drop_table, persist_table, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +66,12 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    read = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = persist_table(docs, name.replace(" ", "-"))
+            if read is not None:
+                drop_table(read)  # the stage before it is written, so nothing reads its input again
+            read = docs
     return docs

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from lodestone.functions import urls
-from lodestone.functions.text import LOWER, STOP_WORDS, UPPER
-from lodestone.operators.rank import TLD, RankConfig
+from types import SimpleNamespace
+
 from lodestone.plans.queries import AGENT, BLACKLIST, BOOLEAN
 
+# The rules stand here once more, by themselves, so that a slip in the library's constants shows.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_STOP = "an are as at be for from in is it of on or that the this to was with and".split()
+_ACCEPTED = ["com", "org", "net", "edu", "gov", "mil", "int", "uk", "co.uk", "au", "com.au", "ca"]
+_FILES = "7z aac avi bmp doc docx exe flac flv gif gz jpeg jpg m4a mkv mov mp3 mp4 pdf png rar svg tar wav webm webp xls xlsx zip".split()
+_PAGES = "asp aspx atom cfm cgi csv htm html jsp jspx php pl py rss shtml tsv txt xhtml xml".split()
+_TLD = {"com": 0.10, "edu": 0.35, "gov": 0.35, "net": 0.05, "org": 0.20}
+_C = SimpleNamespace(url=0.55, path=0.95, depth=1.15, params=0.95, digits=0.75, hyphens=0.45, base_domain=0.35, seed=3.30, words=0.90, title=0.45, thin=-0.20, long=-0.20)
+
 _WHITE = r"[ \t\n\x0B\f\r]+"
 _LATIN = "[A-Za-zÀ-ÖØ-öø-ɏ]"
 _OTHER = "[Ͱ-ϿЀ-ԯ֐-׿؀-ۿऀ-ॿ฀-๿ᄀ-ᇿ぀-ヿ一-鿿가-힯]"
@@ -98,11 +106,11 @@ def _alternatives(names: list[str]) -> str:
 def _allowed(x: str) -> str:
     hp = f"regexp_replace(regexp_extract({x}, '^[^:]*://([^/?]*)', 1), '^[^@]*@', '')"
     h = rf"regexp_replace(regexp_replace({hp}, ':[^:]*\z', ''), '\.+\z', '')"
-    return rf"(NOT starts_with({hp}, '[') AND regexp_matches({h}, '(^|\.)({_alternatives(urls.TLDS)})\z'))"
+    return rf"(NOT starts_with({hp}, '[') AND regexp_matches({h}, '(^|\.)({_alternatives(_ACCEPTED)})\z'))"
 
 
 def _bad(x: str) -> str:
-    return rf"regexp_matches({x}, '(?i)\.({'|'.join(urls.REJECTED)})\z')"
+    return rf"regexp_matches({x}, '(?i)\.({'|'.join(_FILES)})\z')"
 
 
 def _fair(x: str) -> str:
@@ -113,7 +121,7 @@ def _fair(x: str) -> str:
 
 def _crawlable(x: str) -> str:
     p = f"regexp_extract({x}, '^[^:]*://[^/]*(/[^?#]*)', 1)"
-    return rf"(NOT regexp_matches({p}, '\.[^/]*\z') OR regexp_matches({p}, '(?i)\.({'|'.join(urls.CRAWLABLE)})\z'))"
+    return rf"(NOT regexp_matches({p}, '\.[^/]*\z') OR regexp_matches({p}, '(?i)\.({'|'.join(_PAGES)})\z'))"
 
 
 _BARE = f"regexp_extract({_path('url')}, '^[^?#]*', 0)"
@@ -143,11 +151,10 @@ def _saturates(x: str, half: float) -> str:
     return f"(CASE WHEN {x} <= 0 THEN 0.0::DOUBLE ELSE {x} / ({x} + {half}::DOUBLE) END)"
 
 
-_C = RankConfig()
 _URL_RANK = (
     f"{_C.url}::DOUBLE * {_falls('url_length', 60.0)} + {_C.path}::DOUBLE * {_falls('path_length', 20.0)} + {_C.depth}::DOUBLE * {_falls('path_depth', 1.2)} + {_C.params}::DOUBLE * {_falls('query_param_count', 0.8)}"
     f" + {_C.digits}::DOUBLE * {_falls('numeric_path_char_count', 1.0)} + {_C.hyphens}::DOUBLE * {_falls('domain_hyphen_count', 1.0)} + CASE WHEN base_domain_length BETWEEN 3 AND 20 THEN {_C.base_domain}::DOUBLE ELSE 0 END"
-    " + CASE tld " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in TLD.items()) + " ELSE 0 END"
+    " + CASE tld " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in _TLD.items()) + " ELSE 0 END"
 )
 _STATIC = f"SELECT page_id, round({_URL_RANK}, 6) AS score FROM ({_FEATURE_ROWS})"
 
@@ -166,7 +173,7 @@ f AS (SELECT *, CASE WHEN suffix IN ('EDU', 'GOV') THEN 4 WHEN suffix IN ('ORG',
   + CASE WHEN regexp_matches({_lower("host")}, '^(ads|tracking|mail|smtp|ftp)\.') THEN -2.0 ELSE 0 END AS exact FROM n)"""
 _META = """p AS (SELECT CASE WHEN page_id % 5 = 0 THEN url || '#gone' WHEN page_id % 3 = 0 THEN url || '/' ELSE url END AS url, 't' || page_id AS title, 's' || page_id AS snippet, page_id AS line_no FROM pages),
 meta AS (SELECT * FROM p UNION ALL SELECT CASE WHEN line_no % 4 = 0 THEN url ELSE url || '#other' END, title || 'b', snippet, line_no + 1000000 FROM p)"""
-_STOPS = f"len(list_filter({_words('text')}, lambda w: {_lower('w')} IN {_in(STOP_WORDS)}))"
+_STOPS = f"len(list_filter({_words('text')}, lambda w: {_lower('w')} IN {_in(_STOP)}))"
 _MADE = "[url, url || '.PDF', url || '?x=%20%20%20%20%20%20%20%20%20%20', replace(url, 'example', 'user@host.example.io:80/'), ' ' || url || '//']"
 _RAW = ["../up/./x.html", "/root/a/../b", "?q=1", "//other.example.org/p/", "#frag", "mailto:a@b.c", "page", "HTTPS://Up.example.com", "https://abs.example.com/Dir/"]
 
