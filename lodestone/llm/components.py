@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.session import persist_table
+from lodestone.session import drop_table, persist_table
 
 
 def merge_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -42,7 +42,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.withColumn("m", F.min(F.least("u", "v")).over(by_u)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.withColumn("m", F.min("v").over(by_u))
         small = low.select("u", F.col("m").alias("v")).union(low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        e = persist_table(small.distinct(), "edges")
+        old, e = e, persist_table(small.distinct(), "edges")
+        drop_table(old)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
