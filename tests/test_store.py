@@ -153,8 +153,8 @@ def test_lenient_query_decoding(spark):
 def test_unclosed_quotes_take_time_in_proportion():
     page = ("<a href='x\" " * 60_000 + "<p>" * 60_000).encode()
     began = time.time()
-    for at in range(0, len(page), len(page) // 200):
-        html._tag_close(page, at)
+    html.Page(page)
+    html.Page(page.replace(b"<p>", b""))
     assert time.time() - began < 10
     assert html._tag_close(b'a href="x>y" b="z">', 0) == 18 and html._tag_close(b'a="x"">', 0) == 6 and html._tag_close(b'a="x', 0) == -1
 
