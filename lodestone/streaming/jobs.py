@@ -15,9 +15,13 @@ from lodestone.operators.html import is_broken, parse_pages
 from lodestone.operators.index import page_tokens
 
 
-def page_stream(spark: SparkSession, path: str, files_per_trigger: int = 4, names: str = "*") -> DataFrame:
-    """Pages from a folder of Parquet files whose names fit; the file limit is the back-pressure."""
-    return spark.readStream.schema("page_id long, url string, html string").option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", names).parquet(path)
+def page_stream(spark: SparkSession, path: str, files_per_trigger: int | None = 4, names: str = "*") -> DataFrame:
+    """Pages from a folder of Parquet files whose names fit, or from one file; the file limit is the back-pressure, None reads all that is there at once."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile():  # a source's path is a folder
+        path, names = p.getParent().toString(), p.getName()
+    reader = spark.readStream.schema("page_id long, url string, html string").option("pathGlobFilter", names)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
 def index_stream(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -40,7 +44,8 @@ def new_urls(stream: DataFrame, url_col: str = "url", ts_col: str | None = None,
 def polite_schedule(requests: DataFrame, delay_ms: int = DEFAULT_DELAY_MS) -> DataFrame:
     """(host, url, start_ms): when each request (host, url, at_ms, delay_ms) may go, one at a time per host.
 
-    The state of a host is one number: when it's free again."""
+    A host's requests go by (at_ms, url) within a micro-batch, and behind those of earlier ones; to have them all in that
+    order, read them as one. The state of a host is one number: when it's free again."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         free = state.get[0] if state.exists else 0
