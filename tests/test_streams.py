@@ -27,3 +27,10 @@ def folder(spark, tmp_path_factory):
 def test_stream_index_of_a_folder(spark, folder):
     df = registry.QUERIES["stream_index"]
     assert sorted(df(spark, folder).collect()) == sorted(df(spark, compare.SF).collect())
+
+
+@pytest.mark.parametrize("name", ["stream_new_urls"])
+def test_streams_of_a_folder(spark, folder, name):
+    c = compare.connection()
+    c.sql(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    assert compare.difference(registry.QUERIES[name](spark, folder), registry.ORACLES[name], c) == ""
