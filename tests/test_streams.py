@@ -29,7 +29,7 @@ def test_stream_index_of_a_folder(spark, folder):
     assert sorted(df(spark, folder).collect()) == sorted(df(spark, compare.SF).collect())
 
 
-@pytest.mark.parametrize("name", ["stream_new_urls"])
+@pytest.mark.parametrize("name", ["stream_new_urls", "stream_polite_schedule"])
 def test_streams_of_a_folder(spark, folder, name):
     c = compare.connection()
     c.sql(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
