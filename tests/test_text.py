@@ -1,8 +1,11 @@
+import compare
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lodestone import registry
 from lodestone.functions import misc, text
 from lodestone.functions.stem import stem, with_stems
 from lodestone.operators import index
@@ -85,3 +88,11 @@ def test_empty_tables(spark):
     t = index.text_tokens(none)
     assert index.posting_stats(t).count() == index.postings(t).count() == index.posting_lists(t).count() == 0
     assert index.corpus_stats(t, none, text.words(F.col("text"))).first().num_documents == 0
+
+
+def test_utf16_round_trip_of_odd_texts(spark, tmp_path):
+    texts = ["", None, "﻿", "﻿a", "\x00", "\U0001f600a", "￾", "a" * 70000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert compare.difference(registry.QUERIES["utf16_round_trip"](spark, str(tmp_path)), registry.ORACLES["utf16_round_trip"], c) == ""
