@@ -134,3 +134,20 @@ def test_pushdown(spark, tmp_path):
     df = io.read_terms(spark, str(tmp_path / "c"), ["dog"])
     assert {(r.doc_id, tuple(r.locs)) for r in df.collect()} == {(1, (1,)), (2, (0,))}
     assert "In(term" in df._jdf.queryExecution().executedPlan().toString().replace(" ", "") or "EqualTo(term" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_are_parsed_in_bounded_parts(spark, monkeypatch):
+    """Whatever the size of the batches that Spark hands over, the words of about SLICE_BYTES of HTML are Python objects at once."""
+    import pyarrow as pa
+
+    page = "<html><body>" + "word " * 20_000
+    texts = [page, None, "", *[page] * 98]
+    batch = pa.record_batch({"page_id": list(range(101)), "html": texts})
+    df = spark.createDataFrame([], "page_id long, html string")
+    taken = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: taken.append(f) or self)
+    html.parse_pages(df)
+    parts = list(taken[0](iter([batch])))
+    assert max(p.num_rows for p in parts) <= html.SLICE_BYTES // len(page) + 3
+    assert [x for p in parts for x in p.column("page_id").to_pylist()] == list(range(101))
+    assert [len(x) for p in parts for x in p.column("words").to_pylist()] == [20_000, 0, 0, *[20_000] * 98]
