@@ -151,3 +151,27 @@ def test_pages_are_parsed_in_bounded_parts(spark, monkeypatch):
     assert max(p.num_rows for p in parts) <= html.SLICE_BYTES // len(page) + 3
     assert [x for p in parts for x in p.column("page_id").to_pylist()] == list(range(101))
     assert [len(x) for p in parts for x in p.column("words").to_pylist()] == [20_000, 0, 0, *[20_000] * 98]
+
+
+def test_pages_reach_python_in_small_batches(spark):
+    """Not in batches of 10,000 pages or 64 MB, of which a worker holds two."""
+    name, row = "spark.sql.execution.arrow.maxBytesPerBatch", 10_000
+    pages = spark.createDataFrame([(1, "https://a.com/x", "x")], "page_id long, url string, html string")
+
+    def most():
+        def run(batches):
+            import pyarrow as pa
+
+            yield from (pa.record_batch({"n": [b.nbytes]}) for b in batches)
+
+        return spark.range(3000).coalesce(1).selectExpr(f"repeat('x', {row}) AS html").mapInArrow(run, "n long").agg(F.max("n")).first()[0]
+
+    try:
+        spark.conf.set(name, "64m")
+        html.parse_pages(pages)
+        assert row * 100 < most() < 5 << 20
+        spark.conf.set(name, "1m")
+        html.parse_pages(pages)
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.unset(name)
